@@ -140,9 +140,9 @@ def largest_part(c: Column | str, sep: str = ".", token: str = r"[A-Za-z0-9]") -
 
 
 # Symbols of the elements screened out as heavy (atomic numbers 21-118
-# without 30, 34-36, 53, 54), in periodic order.
+# without 30, 35, 36, 53, 54), in periodic order.
 HEAVY_ELEMENTS = tuple(
-    "Sc Ti V Cr Mn Fe Co Ni Cu Ga Ge As Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te Cs Ba La Ce Pr Nd Pm Sm Eu "
+    "Sc Ti V Cr Mn Fe Co Ni Cu Ga Ge As Se Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te Cs Ba La Ce Pr Nd Pm Sm Eu "
     "Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm "
     "Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og".split()
 )

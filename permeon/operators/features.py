@@ -7,7 +7,7 @@ generated code.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -262,8 +262,3 @@ def note_failures(df: DataFrame, key: str, comments: str, note: str = "|error of
     """Keep the rows without a key and append a note to their comments instead."""
     failed = F.concat(F.coalesce(F.col(comments), F.lit("")), F.lit(note))
     return df.withColumn(comments, F.when(F.col(key).isNull(), failed).otherwise(F.col(comments)))
-
-
-def contract(names: Mapping[str, Sequence[str]] | Sequence[str]) -> list[str]:
-    """Feature names in the order a saved model expects them."""
-    return list(names["features"]) if isinstance(names, Mapping) else list(names)

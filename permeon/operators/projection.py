@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permeon.functions.cleaning import coerce_number, is_finite
+from permeon.functions.cleaning import coerce_number
 from permeon.operators.ordering import ranked
 
 # Contract threshold, null budgets, and the id prefix.
@@ -116,11 +116,6 @@ def make_id(df: DataFrame, order: Sequence[str] | str, name: str, out: str = "un
     return placed.withColumn(out, label).drop("__pos")
 
 
-def finite_share(df: DataFrame, cols: Sequence[str]) -> Column:
-    """How many of ``cols`` hold a finite number, as a column."""
-    return sum((F.when(is_finite(c), 1).otherwise(0) for c in cols), F.lit(0))
-
-
 def keep_threshold(width: int, share: float) -> int:
     """Cells a row needs to be kept."""
     return math.ceil(share * width)
