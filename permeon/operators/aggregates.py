@@ -83,8 +83,8 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFram
     return df.sparkSession.createDataFrame(rows, DESCRIBE_SCHEMA)
 
 
-def batch_summary(results: DataFrame) -> DataFrame:
-    """One row: counts, rates and means of a scored batch.
+def batch_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``by`` group): counts, rates and means of a scored batch.
 
     Means are over successful rows, a missing figure counting as 0; every rate
     is 0 where its base is empty.
@@ -97,7 +97,7 @@ def batch_summary(results: DataFrame) -> DataFrame:
     def mean_of(c: str) -> Column:
         return F.coalesce(F.avg(F.when(ok, F.coalesce(F.col(c), F.lit(0.0)))), F.lit(0.0)).alias(f"avg_{c}")
 
-    return results.agg(
+    return results.groupBy(*by).agg(
         total.alias("total"),
         good.alias("successful"),
         F.count_if(F.col("status") == "Error").alias("failed"),
@@ -142,7 +142,7 @@ def pack_replicates(
         *keys,
         "pack",
         F.size("__items").cast("bigint").alias("n"),
-        *[F.transform("__items", lambda s, c=c: s[c]).alias(c) for c in cols],
+        *[F.col(f"__items.{c}").alias(c) for c in cols],
     )
 
 

@@ -57,10 +57,16 @@ def ecdf(df: DataFrame, col: str) -> DataFrame:
 
 
 def scatter_rows(
-    results: DataFrame, x: str = "confidence", y: str = "uncertainty", cls: str = "prediction", text: str = "name"
+    results: DataFrame,
+    x: str = "confidence",
+    y: str = "uncertainty",
+    cls: str = "prediction",
+    text: str = "name",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(trace, x, y, text) of every successful row, one trace per class."""
     return results.filter(F.col("status") == "Success").select(
+        *keep,
         F.coalesce(F.col(cls), F.lit("Unknown")).alias("trace"),
         F.coalesce(F.col(x), F.lit(0.0)).alias("x"),
         F.coalesce(F.col(y), F.lit(0.0)).alias("y"),

@@ -1,0 +1,169 @@
+"""Spark ML: fits, tuning, out-of-fold scores, importances. Checked by properties, not by SQL."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from permeon.operators import models, sampling, scoring
+from permeon.operators.evaluation import metrics
+from permeon.operators.features import apply_array_scaler, fingerprint_vector, fit_array_scaler
+from permeon.plans.catalog.registry import Tables, query
+from permeon.plans.training import feature_names, train_and_evaluate
+from permeon.session import scratch_dir
+
+
+def _labelled(spark, d):
+    y = F.when(F.col("label") >= 5, 1).otherwise(0)
+    return Tables(spark, d).embeddings.select("vec_id", "embedding", y.alias("y"))
+
+
+def _frames(spark, d):
+    parts = sampling.stratified_split(_labelled(spark, d), "vec_id", "y")
+    train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
+    scaler = fit_array_scaler(train, "embedding")
+    a, b = (models.as_vectors(apply_array_scaler(p, "embedding", scaler), "embedding", "y", ["vec_id"]) for p in (train, test))
+    return a, b
+
+
+def _folds(spark, d, k):
+    rows = sampling.stratified_folds(_labelled(spark, d), "vec_id", "y", k)
+    return models.as_vectors(rows, "embedding", "y", ["vec_id", "fold"])
+
+
+def _fit_scores(spark, d, name, estimator):
+    train, test = _frames(spark, d)
+    return scoring.score_models(test, "vec_id", {name: estimator.fit(train)}, keep=["label"])
+
+
+@query("logistic_regression")
+def logistic_regression(spark, d):
+    train, test = _frames(spark, d)
+    est = models.logreg(train.count(), C=0.1, max_iter=50)
+    return scoring.score_models(test, "vec_id", {"LR": est.fit(train)}, keep=["label"])
+
+
+@query("random_forest")
+def random_forest(spark, d):
+    return _fit_scores(spark, d, "RF", models.forest(20, 5))
+
+
+@query("extra_trees")
+def extra_trees(spark, d):
+    return _fit_scores(spark, d, "ET", models.extra_trees(20, 5))
+
+
+@query("boosted_trees")
+def boosted_trees(spark, d):
+    return _fit_scores(spark, d, "GBT", models.boosted(8, max_depth=3))
+
+
+@query("support_vectors")
+def support_vectors(spark, d):
+    width = len(feature_names(_labelled(spark, d), "embedding"))
+    mapped = models.fourier_features(_labelled(spark, d), "embedding", width, 128, gamma=1.0 / width)
+    parts = sampling.stratified_split(mapped, "vec_id", "y")
+    sides = [models.as_vectors(parts.filter(F.col("split") == s), "embedding", "y", ["vec_id"]) for s in ("train", "test")]
+    return scoring.score_models(sides[1], "vec_id", {"SVM": models.svm(20).fit(sides[0])}, keep=["label"])
+
+
+@query("perceptron")
+def perceptron(spark, d):
+    width = len(feature_names(_labelled(spark, d), "embedding"))
+    return _fit_scores(spark, d, "MLP", models.mlp(width, (16,), 30))
+
+
+@query("grid_search")
+def grid_search(spark, d):
+    rows = _folds(spark, d, 3)
+    tuned = models.tune(models.forest(10, 4), {"maxDepth": [3, 5], "minInstancesPerNode": [1, 5]}, rows, folds=3)
+    return spark.createDataFrame(models.tuning_table(tuned), "params string, mean_score double, std_score double")
+
+
+@query("sampled_search")
+def sampled_search(spark, d):
+    space = {
+        "maxDepth": lambda r: int(r.integers(2, 6)),
+        "numTrees": lambda r: int(r.integers(5, 15)),
+        "featureSubsetStrategy": lambda r: str(r.choice(["sqrt", "log2"])),
+    }
+    tuned = models.sampled_search(models.forest(), space, 4, _folds(spark, d, 3), folds=3)
+    return spark.createDataFrame(models.tuning_table(tuned), "params string, mean_score double, std_score double")
+
+
+@query("model_zoo")
+def model_zoo(spark, d):
+    train, test = _frames(spark, d)
+    width = len(feature_names(_labelled(spark, d), "embedding"))
+    zoo = models.default_zoo(train.count(), width)
+    return models.model_zoo({n: zoo[n] for n in ("LR", "RF", "SVM", "MLP")}, train, test, "vec_id")
+
+
+@query("save_load_bundle")
+def save_load_bundle(spark, d):
+    train, test = _frames(spark, d)
+    fitted = {"LR": models.logreg(train.count(), max_iter=10).fit(train), "RF": models.forest(5, 3).fit(train)}
+    path = scratch_dir(spark, "bundle")
+    names = feature_names(_labelled(spark, d), "embedding")
+    models.save_bundle(spark, models.ModelBundle(fitted, list(names)), path)
+    return scoring.labelled_confidence(scoring.score_models(test, "vec_id", models.load_bundle(spark, path).models))
+
+
+@query("out_of_fold")
+def out_of_fold(spark, d):
+    rows = _folds(spark, d, 3)
+    return models.oof_predict(models.logreg(rows.count(), max_iter=20), rows, "vec_id", folds=3)
+
+
+@query("single_model_scores")
+def single_model_scores(spark, d):
+    train, test = _frames(spark, d)
+    fitted = {"RF": models.forest(10, 4).fit(train), "GBT": models.boosted(5, max_depth=3).fit(train)}
+    return scoring.labelled_confidence(scoring.score_models(test, "vec_id", fitted, keep=["label"]))
+
+
+@query(
+    "chunked_inference",
+    """SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform(range(1, len(embedding) + 1),
+      i -> embedding[i]::DOUBLE * ((i - 1) % 5 - 2))))), 6) AS score FROM embeddings""",
+)
+def chunked_inference(spark, d):
+    def head(x: np.ndarray) -> np.ndarray:
+        weights = np.arange(x.shape[1]) % 5 - 2
+        return 1 / (1 + np.exp(-(x @ weights)))
+
+    out = scoring.batch_predict(Tables(spark, d).embeddings, "vec_id", "embedding", head, size=64)
+    return out.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("built_in_importance")
+def built_in_importance(spark, d):
+    train, _ = _frames(spark, d)
+    names = feature_names(_labelled(spark, d), "embedding")
+    return models.importances(spark, models.forest(20, 5).fit(train), names, 20)
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    train, _ = _frames(spark, d)
+    names = feature_names(_labelled(spark, d), "embedding")
+    fitted = models.logreg(train.count(), max_iter=20).fit(train)
+    return models.permutation_importance(fitted, train, "vec_id", names, share=0.3, repeats=5)
+
+
+@query("fingerprint_model")
+def fingerprint_model(spark, d):
+    t = Tables(spark, d)
+    rows = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    vectors = fingerprint_vector(rows, "text").drop("text")
+    fitted = models.logreg(vectors.count(), C=0.1, max_iter=10).fit(vectors)
+    scored = scoring.score_models(vectors, "doc_id", {"LR": fitted}, keep=["label"])
+    return metrics(scored.select(F.col("label").cast("int").alias("actual"), "pred"))
+
+
+@query("train_and_evaluate")
+def train_evaluate(spark, d):
+    y = F.when(F.col("label") >= 7, 1).otherwise(0)
+    rows = Tables(spark, d).embeddings.select("vec_id", "embedding", y.alias("y"))
+    zoo = {"LR": models.logreg(rows.count(), C=0.1, max_iter=20), "RF": models.forest(10, 4)}
+    return train_and_evaluate(rows, "vec_id", "embedding", "y", zoo).board
