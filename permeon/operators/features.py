@@ -161,11 +161,18 @@ def pca(df: DataFrame, features: str, k: int = 2, standardise: bool = True) -> P
 
 
 def token_ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n neighbouring tokens, joined by a blank."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
+    """Runs of n neighbouring tokens, joined by a blank.
+
+    Built by zipping shifted copies: a lambda that reached back into the whole
+    token list would extract it again for every token.
+    """
+    grams = tokens
+    for k in range(2, n + 1):
+        count = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(k), count), lambda a, b: F.concat_ws(" ", a, b)
+        )
+    return grams
 
 
 def fingerprint_bits(col: Column | str, n_bits: int = N_BITS, sizes: Sequence[int] = (1, 2)) -> Column:
@@ -178,10 +185,11 @@ def fingerprint_bits(col: Column | str, n_bits: int = N_BITS, sizes: Sequence[in
 
 def fingerprint_vector(df: DataFrame, col: str, out: str = "features", n_bits: int = N_BITS) -> DataFrame:
     """The same idea as a sparse 0/1 vector for Spark ML."""
-    tokens = words(col)
-    grams = F.flatten(F.array(*[token_ngrams(tokens, n) for n in (1, 2)]))
+    grams = F.flatten(F.array(*[token_ngrams(F.col("__tokens"), n) for n in (1, 2)]))
+    tokens = F.coalesce(words(col), F.array().cast("array<string>"))
     tf = HashingTF(numFeatures=n_bits, binary=True, inputCol="__grams", outputCol=out)
-    return tf.transform(df.withColumn("__grams", F.coalesce(grams, F.array().cast("array<string>")))).drop("__grams")
+    ready = df.withColumn("__tokens", tokens).withColumn("__grams", grams)
+    return tf.transform(ready).drop("__grams", "__tokens")
 
 
 def lexical_features(col: Column | str) -> dict[str, Column]:

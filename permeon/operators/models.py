@@ -154,7 +154,7 @@ def sampled_search(
 def tuning_table(model: CrossValidatorModel) -> list[tuple[str, float, float]]:
     """(parameters, mean score, deviation over folds) per setting, best first."""
     rows = [
-        (json.dumps({p.name: v for p, v in m.items()}, sort_keys=True, default=str), a, s)
+        (json.dumps({p.name: v for p, v in m.items()}, sort_keys=True, default=str), float(a), float(s))
         for m, a, s in zip(model.getEstimatorParamMaps(), model.avgMetrics, model.stdMetrics)
     ]
     return sorted(rows, key=lambda r: (-r[1], r[0]))

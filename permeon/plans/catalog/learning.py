@@ -125,7 +125,7 @@ def single_model_scores(spark, d):
 @query(
     "chunked_inference",
     """SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform(range(1, len(embedding) + 1),
-      i -> embedding[i]::DOUBLE * ((i - 1) % 5 - 2))))), 6) AS score FROM embeddings""",
+      lambda i: embedding[i]::DOUBLE * ((i - 1) % 5 - 2))))), 6) AS score FROM embeddings""",
 )
 def chunked_inference(spark, d):
     def head(x: np.ndarray) -> np.ndarray:

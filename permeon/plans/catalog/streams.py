@@ -67,7 +67,7 @@ def stream_first_seen_bounded(spark, d):
     out, checkpoint = scratch_dir(spark, "seen"), scratch_dir(spark, "checkpoint")
 
     def work(s):
-        return stream_dedup(s.select("user_id", "ts"), "user_id", "ts", "365 days").select("user_id")
+        return stream_dedup(s.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "365 days").select("user_id")
 
     run_to_end(stream_append(_events(spark, d), work, out, checkpoint))
     return spark.read.schema("user_id bigint").parquet(out)

@@ -145,9 +145,9 @@ def pending(spark, d):
 @query(
     "fingerprint",
     """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents),
-    g AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS grams FROM t),
+    g AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM t),
     b AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_distinct(grams),
-      g -> ('0x' || substr(md5(g), 1, 8))::BIGINT % 2048))) AS bits FROM g)
+      lambda g: ('0x' || substr(md5(g), 1, 8))::BIGINT % 2048))) AS bits FROM g)
     SELECT doc_id, len(bits) AS n_bits, array_to_string(bits, ',') AS bits FROM b""",
 )
 def fingerprint(spark, d):
@@ -223,7 +223,7 @@ def columnwise_apply(spark, d):
 
 @query(
     "map_batches",
-    """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""",
+    """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""",
 )
 def map_batches(spark, d):
     def norms(pdf: pd.DataFrame) -> pd.DataFrame:
