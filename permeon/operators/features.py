@@ -175,21 +175,28 @@ def token_ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
-def fingerprint_bits(col: Column | str, n_bits: int = N_BITS, sizes: Sequence[int] = (1, 2)) -> Column:
+def _with_ngrams(df: DataFrame, col: str, sizes: Sequence[int]) -> DataFrame:
+    """Add ``__grams``; the tokens get a projection of their own, so they are extracted once."""
+    tokens = F.coalesce(words(col), F.array().cast("array<string>"))
+    grams = F.flatten(F.array(*[token_ngrams(F.col("__tokens"), n) for n in sizes]))
+    return df.withColumn("__tokens", tokens).withColumn("__grams", grams).drop("__tokens")
+
+
+def fingerprint(
+    df: DataFrame, col: str, out: str = "bits", n_bits: int = N_BITS, sizes: Sequence[int] = (1, 2)
+) -> DataFrame:
     """Sorted positions of the set bits of a hashed n-gram fingerprint; no tokens, no bits."""
-    tokens = words(col)
-    grams = F.flatten(F.array(*[token_ngrams(tokens, n) for n in sizes]))
     bit = lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits))
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), bit)))
+    bits = F.array_sort(F.array_distinct(F.transform(F.array_distinct("__grams"), bit)))
+    return _with_ngrams(df, col, sizes).withColumn(out, bits).drop("__grams")
 
 
-def fingerprint_vector(df: DataFrame, col: str, out: str = "features", n_bits: int = N_BITS) -> DataFrame:
+def fingerprint_vector(
+    df: DataFrame, col: str, out: str = "features", n_bits: int = N_BITS, sizes: Sequence[int] = (1, 2)
+) -> DataFrame:
     """The same idea as a sparse 0/1 vector for Spark ML."""
-    grams = F.flatten(F.array(*[token_ngrams(F.col("__tokens"), n) for n in (1, 2)]))
-    tokens = F.coalesce(words(col), F.array().cast("array<string>"))
     tf = HashingTF(numFeatures=n_bits, binary=True, inputCol="__grams", outputCol=out)
-    ready = df.withColumn("__tokens", tokens).withColumn("__grams", grams)
-    return tf.transform(ready).drop("__grams", "__tokens")
+    return tf.transform(_with_ngrams(df, col, sizes)).drop("__grams")
 
 
 def lexical_features(col: Column | str) -> dict[str, Column]:

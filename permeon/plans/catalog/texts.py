@@ -11,6 +11,7 @@ from permeon.operators import features, udfs
 from permeon.operators.projection import for_columns
 from permeon.plans.catalog.analysis import rounded
 from permeon.plans.catalog.registry import Tables, query
+from permeon.session import spread
 from permeon.plans.display import chat_export, pending_question
 
 _PATTERNS = [p.replace("'", "''") for p in text.BOILERPLATE_PATTERNS]
@@ -32,7 +33,8 @@ def _cleaned(col: str) -> str:
 )
 def clean_text(spark, d):
     raw = F.concat("text", F.lit(" Conclusions: abstract 250 words) ok.. tail"))
-    return Tables(spark, d).documents.select("doc_id", text.clean_text(raw).alias("cleaned"))
+    docs = spread(Tables(spark, d).documents.select("doc_id", "text"))
+    return docs.select("doc_id", text.clean_text(raw).alias("cleaned"))
 
 
 @query(
@@ -151,7 +153,8 @@ def pending(spark, d):
     SELECT doc_id, len(bits) AS n_bits, array_to_string(bits, ',') AS bits FROM b""",
 )
 def fingerprint(spark, d):
-    bits = Tables(spark, d).documents.select("doc_id", features.fingerprint_bits("text").alias("b"))
+    docs = spread(Tables(spark, d).documents.select("doc_id", "text"))
+    bits = features.fingerprint(docs, "text", "b")
     return bits.select("doc_id", F.size("b").cast("bigint").alias("n_bits"), F.concat_ws(",", F.col("b").cast("array<string>")).alias("bits"))
 
 
@@ -166,7 +169,7 @@ def _hits(pattern: str) -> str:
     CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS DOUBLE) AS n_lines, FALSE AS failed FROM documents""",
 )
 def featurize(spark, d):
-    return features.featurize(Tables(spark, d).documents, "text", keep=["doc_id"])
+    return features.featurize(spread(Tables(spark, d).documents.select("doc_id", "text")), "text", keep=["doc_id"])
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "permeon") -> SparkSession:
@@ -45,3 +45,13 @@ def ensure_checkpointing(spark: SparkSession) -> None:
 def bucket_count(spark: SparkSession) -> int:
     """How many pieces one sort key is cut into; follows the cluster's setting."""
     return max(32, min(20_000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly if the scan has fewer partitions than there are cores.
+
+    For work that is heavy per row on files that do not split (gzip, or one row
+    group). A scan that already fills the cluster is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
