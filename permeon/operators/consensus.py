@@ -107,8 +107,9 @@ def label_consensus(
     cutoff: float = LOGBB_CUTOFF,
     positive: str = POSITIVE,
     negative: str = NEGATIVE,
+    value_name: str | None = None,
 ) -> DataFrame:
-    """One row per key: consensus ``label`` and its quality ``group``.
+    """One row per key: consensus ``label``, its quality ``group``, and the measured value as ``value_name``.
 
     A measured value decides by the cutoff (A). Otherwise labels count: where
     the source threshold equals the cutoff they must all agree (B, else
@@ -151,7 +152,7 @@ def label_consensus(
     return (
         tally.filter(has_value | (F.col("__kinds") > 0))
         .withColumn("group", group)
-        .select(*keys, decided.alias("label"), "group")
+        .select(*keys, *([F.col("__value").alias(value_name)] if value_name else []), decided.alias("label"), "group")
     )
 
 

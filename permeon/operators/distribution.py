@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permeon.functions.cleaning import finite_or_null
-from permeon.operators.ordering import running_totals
+from permeon.operators.ordering import quantile_cuts, running_totals
 
 HISTOGRAM_SCHEMA = T.StructType(
     [
@@ -51,8 +51,9 @@ def histogram(df: DataFrame, col: str, bins: int = 10, discrete: bool = False) -
 def ecdf(df: DataFrame, col: str) -> DataFrame:
     """Share of rows at or below each distinct value."""
     x = finite_or_null(F.col(col))
-    counts = df.select(x.alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, "x", {"upto": F.col("n")}, totals={"upto": "total"})
+    values = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(counts, "x", {"upto": F.col("n")}, cuts=quantile_cuts(values, ["x"]), totals={"upto": "total"})
     return run.select("x", "n", (F.col("upto") / F.col("total")).alias("proportion"))
 
 

@@ -9,13 +9,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -285,10 +284,3 @@ def permutation_importance(
     rows = sorted(((names[r["f"]], r["importance"], r["std"]) for r in out), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, std double")
 
-
-def pipeline(*stages) -> Pipeline:
-    return Pipeline(stages=list(stages))
-
-
-def naive_bayes(**kw) -> NaiveBayes:
-    return NaiveBayes(modelType="gaussian", **_COLS, **kw)

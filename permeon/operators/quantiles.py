@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from permeon.functions.cleaning import finite_or_null
 
 LEAF_ROWS = 4096
+COLUMNS_PER_PASS = 64
 SKETCH_ACCURACY = 10_000
 
 
@@ -157,8 +158,16 @@ def _pick_interior(df: DataFrame, cells: Sequence[_Interval], column: Mapping[st
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of each column; a column without values gives Nones.
 
-    NULL, NaN and the infinities are skipped.
+    NULL, NaN and the infinities are skipped. Wide tables are worked through some
+    columns at a time; each pass then reads only those columns.
     """
+    out: dict[str, list[float | None]] = {}
+    for i in range(0, len(cols), COLUMNS_PER_PASS):
+        out |= _exact_quantiles(df, cols[i : i + COLUMNS_PER_PASS], probs)
+    return out
+
+
+def _exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     df = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)])
     column = {c: F.col(f"v{i}") for i, c in enumerate(cols)}
     row = df.agg(

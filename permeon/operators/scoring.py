@@ -45,8 +45,9 @@ def _folded(share: Column) -> Column:
 def ensemble_mean(scores: DataFrame, key: str) -> DataFrame:
     """Probability mean: positive above 0.5; uncertainty is the largest class deviation."""
     p1 = F.avg("p1")
+    # Rounded for the comparison: a mean of exactly one half must not tip over by summation order.
     return scores.groupBy(key).agg(
-        _label(p1 > 0.5).alias("prediction"),
+        _label(F.round(p1, 12) > 0.5).alias("prediction"),
         (F.greatest(p1, 1 - p1) * 100).alias("confidence"),
         (F.stddev_pop("p1") * 100).alias("uncertainty"),
         _folded(F.avg("pred")).alias("agreement"),
@@ -91,10 +92,14 @@ def majority_wide(df: DataFrame, models: Sequence[str], need: int = VOTES_NEEDED
     return df.withColumn(out, F.when(votes >= need, 1).otherwise(0))
 
 
+def _count_vote() -> Column:
+    return _label(F.count_if(F.col("pred") == 1) >= F.count_if(F.col("pred") == 0))
+
+
 def ensemble_count(scores: DataFrame, key: str) -> DataFrame:
     """Count vote: positive if at least as many ones as zeros; plain mean confidence, 0 if none."""
     return scores.groupBy(key).agg(
-        _label(F.count_if(F.col("pred") == 1) >= F.count_if(F.col("pred") == 0)).alias("prediction"),
+        _count_vote().alias("prediction"),
         F.coalesce(F.avg("p1") * 100, F.lit(0.0)).alias("confidence"),
     )
 
@@ -112,8 +117,10 @@ def primary_score(scores: DataFrame, key: str, prefer: str = PRIMARY_MODEL, orde
     )
 
 
-def predictions_wide(scores: DataFrame, key: str, models: Sequence[str], actual: DataFrame | None = None) -> DataFrame:
-    """One prediction and one ``<model>_proba`` column per model.
+def predictions_wide(
+    scores: DataFrame, key: str, models: Sequence[str], actual: DataFrame | None = None, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """One prediction and one ``<model>_proba`` column per model, and ``extra`` aggregates.
 
     The model list is given, so no extra pass has to find the pivot values.
     """
@@ -121,7 +128,7 @@ def predictions_wide(scores: DataFrame, key: str, models: Sequence[str], actual:
     for m in models:
         mine = F.col("model") == m
         cells += [F.max(F.when(mine, F.col("pred"))).alias(m), F.max(F.when(mine, F.col("p1"))).alias(f"{m}_proba")]
-    wide = scores.groupBy(key).agg(*cells)
+    wide = scores.groupBy(key).agg(*cells, *extra)
     return wide.join(actual, key) if actual is not None else wide
 
 
@@ -130,7 +137,7 @@ def export_row(scores: DataFrame, key: str, models: Sequence[str], info: DataFra
 
     A missing answer exports as the negative label; its confidence stays empty.
     """
-    wide = predictions_wide(scores, key, models).join(ensemble_count(scores, key).select(key, "prediction"), key)
+    wide = predictions_wide(scores, key, models, extra=[_count_vote().alias("prediction")])
     cols = []
     for m in models:
         p1 = F.col(f"{m}_proba")
@@ -169,26 +176,56 @@ def softmax_head(df: DataFrame, logits: Column, threshold: float = RELIABLE) ->
     )
 
 
+def _answer(name: str, pred: Column, p1: Column) -> Column:
+    return F.struct(F.lit(name).alias("model"), pred.cast("int").alias("pred"), p1.cast("double").alias("p1"))
+
+
+def with_answers(df: DataFrame, models: Mapping[str, object], out: str = "answers") -> DataFrame:
+    """Add one array of (model, pred, p1) per row, without a shuffle or a second scan.
+
+    A model is a fitted Spark ML model over the frame's ``features``, or a
+    function that returns its (pred, p1) column expressions.
+    """
+    cells = []
+    for name, model in models.items():
+        if callable(model):
+            cells.append(_answer(name, *model()))
+            continue
+        scored = model.transform(df)
+        p1 = vector_to_array("probability")[1] if "probability" in scored.columns else F.lit(None)
+        df = scored.withColumn(f"__{name}", _answer(name, F.col("prediction"), p1))
+        df = df.drop("prediction", "rawPrediction", "probability")
+        cells.append(F.col(f"__{name}"))
+    return df.withColumn(out, F.array(*cells)).drop(*[f"__{n}" for n in models])
+
+
+def vote_on_row(answers: Column | str) -> dict[str, Column]:
+    """:func:`ensemble_vote_batch` for the answer array of one row."""
+    answers = F.col(answers) if isinstance(answers, str) else answers
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    share = total(F.transform(answers, lambda a: a["pred"].cast("double"))) / F.size(answers)
+    known = F.transform(F.filter(answers, lambda a: a["p1"].isNotNull()), lambda a: a["p1"] * 100)
+    n = F.size(known)
+    mean = F.try_divide(total(known), n)
+    spread = F.sqrt(total(F.transform(known, lambda p: (p - mean) * (p - mean))) / n)
+    confidence = F.coalesce(mean, F.lit(NEUTRAL))
+    return {
+        "prediction": _label(share >= 0.5),
+        "confidence": confidence,
+        "uncertainty": F.when(n > 1, spread).otherwise(F.abs(NEUTRAL - confidence)),
+        "agreement": _folded(share),
+        "num_models": F.size(answers).cast("bigint"),
+    }
+
+
 def long_scores(df: DataFrame, key: str, models: Mapping[str, tuple[Column, Column]], keep: Sequence[str] = ()) -> DataFrame:
     """Expression models ``name -> (pred, p1)`` to the long score table, in one projection."""
-    items = [
-        F.struct(F.lit(m).alias("model"), pred.cast("int").alias("pred"), p1.cast("double").alias("p1"))
-        for m, (pred, p1) in models.items()
-    ]
-    return df.select(key, *keep, F.inline(F.array(*items)))
+    return df.select(key, *keep, F.inline(F.array(*[_answer(m, *cols) for m, cols in models.items()])))
 
 
 def score_models(df: DataFrame, key: str, models: Mapping[str, object], keep: Sequence[str] = ()) -> DataFrame:
-    """Long score table of fitted Spark ML models over one shared feature frame."""
-    out = None
-    for name, model in models.items():
-        scored = model.transform(df)
-        p1 = vector_to_array("probability")[1] if "probability" in scored.columns else F.lit(None).cast("double")
-        one = scored.select(
-            key, *keep, F.lit(name).alias("model"), F.col("prediction").cast("int").alias("pred"), p1.alias("p1")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Long score table of fitted Spark ML models, all in one pass over the feature frame."""
+    return with_answers(df, models, "__answers").select(key, *keep, F.inline("__answers"))
 
 
 def labelled_confidence(scores: DataFrame) -> DataFrame:

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permeon.operators.features import Scaler, apply_scaler
 from permeon.operators.joins import candidates
 from permeon.operators.projection import align_features, coerce_numeric
-from permeon.operators.scoring import ensemble_vote_batch, long_scores
+from permeon.operators.scoring import vote_on_row, with_answers
 
 # Statuses and error texts of a batch result.
 SUCCESS, ERROR = "Success", "Error"
 UNRESOLVED = "Could not process molecule"
 NO_FEATURES = "Descriptor calculation failed"
 
-Model = Callable[[], tuple[Column, Column]]
-
-
 def resolve_inputs(
     batch: DataFrame,
     is_valid: Callable[[Column], Column],
@@ -52,41 +50,40 @@ def score_batch(
     key: str,
     resolve: Callable[[DataFrame], DataFrame],
     describe: Callable[[DataFrame], DataFrame],
-    models: Mapping[str, Callable[[], tuple[Column, Column]]],
+    models: Mapping[str, object],
     expected: Sequence[str],
     scaler: Scaler | None = None,
     properties: Sequence[str] = (),
+    vectors: bool = False,
 ) -> DataFrame:
     """One result row per input row: a prediction, or an error with its reason.
 
     ``batch`` has (key, input, name). ``resolve`` adds ``smiles``; ``describe``
-    turns the resolved rows into features with a ``failed`` flag and any
-    ``properties``. Failures are a column all the way, so bad rows never stop
-    the good ones.
-    """
-    resolved = resolve(batch)
-    lost = resolved.filter(F.col("smiles").isNull())
-    described = describe(resolved.filter(F.col("smiles").isNotNull()))
-    failed = described.filter(F.col("failed"))
-    keep = [key, "input", "name", "smiles", *properties]
-    good = described.filter(~F.col("failed"))
+    adds features, a ``failed`` flag and any ``properties``. ``models`` are
+    fitted Spark ML models (with ``vectors``) or column expressions.
 
-    numeric = coerce_numeric(good, [c for c in expected if c in good.columns])
+    Failures are a column all the way and every model answers on the same row,
+    so the batch is one narrow pass: bad rows neither stop the good ones nor
+    need a plan of their own.
+    """
+    rows = describe(resolve(batch))
+    keep = [key, "input", "name", "smiles", "failed", *properties]
+    numeric = coerce_numeric(rows, [c for c in expected if c in rows.columns])
     ready = apply_scaler(align_features(numeric, expected, keep=keep), scaler)
-    votes = ensemble_vote_batch(long_scores(ready, key, {n: m() for n, m in models.items()}), key)
-    done = ready.select(*keep).join(votes, key).withColumn("status", F.lit(SUCCESS)).withColumn(
-        "error", F.lit(None).cast("string")
-    )
-    errors = [
-        df.select(key, "input", "name", "smiles", F.lit(ERROR).alias("status"), F.lit(text).alias("error"))
-        for df, text in ((lost, UNRESOLVED), (failed, NO_FEATURES))
-    ]
-    out = done
-    for e in errors:
-        out = out.unionByName(e, allowMissingColumns=True)
-    return out.select(
-        key, "input", "name", "smiles", "status", "error", "prediction", "confidence", "uncertainty",
-        "agreement", "num_models", *properties,
+    if vectors:
+        ready = ready.withColumn("features", array_to_vector(F.array(*[F.col(f"`{c}`") for c in expected])))
+    answered = with_answers(ready, models)
+    error = F.when(F.col("smiles").isNull(), UNRESOLVED).when(F.col("failed"), NO_FEATURES)
+    good = F.col("error").isNull()
+    return answered.withColumn("error", error).select(
+        key,
+        "input",
+        "name",
+        "smiles",
+        F.when(good, SUCCESS).otherwise(ERROR).alias("status"),
+        "error",
+        *[F.when(good, e).alias(n) for n, e in vote_on_row("answers").items()],
+        *[F.when(good, F.col(p)).alias(p) for p in properties],
     )
 
 

@@ -42,7 +42,7 @@ def scored_batch_summary(spark, d):
 
 @query(
     "ensemble_mean",
-    f"""WITH {scores_sql(THREE)}, e AS (SELECT event_id, CASE WHEN avg(p1) > 0.5 THEN 'BBB+' ELSE 'BBB-' END AS prediction,
+    f"""WITH {scores_sql(THREE)}, e AS (SELECT event_id, CASE WHEN round(avg(p1), 12) > 0.5 THEN 'BBB+' ELSE 'BBB-' END AS prediction,
       greatest(avg(p1), 1 - avg(p1)) * 100 AS confidence, stddev_pop(p1) * 100 AS uncertainty,
       {_fold('avg(pred) * 100')} AS agreement, count(*) AS num_models FROM scores GROUP BY event_id)
     SELECT event_id, prediction, {_ENSEMBLE_COLUMNS} FROM e""",

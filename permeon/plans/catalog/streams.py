@@ -32,7 +32,7 @@ def _scored(batch):
 )
 def stream_score_insert(spark, d):
     schema = _scored(Tables(spark, d).events).drop("event_id").schema
-    store = ResultStore(spark, scratch_dir(spark, "scored"), schema, "key")
+    store = ResultStore(spark, scratch_dir(spark, "scored"), schema, "key", buckets=8)
     checkpoint = scratch_dir(spark, "checkpoint")
     for _ in range(2):  # the second run finds nothing left to do
         run_to_end(stream_score(_events(spark, d), _scored, store, ["event_id"], checkpoint))

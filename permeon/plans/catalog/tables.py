@@ -112,7 +112,7 @@ def insert_query(spark, d):
         F.col("o_totalprice").alias("confidence"),
         "o_orderkey",
     )
-    store = ResultStore(spark, scratch_dir(spark, "store"), start.schema, "key")
+    store = ResultStore(spark, scratch_dir(spark, "store"), start.schema, "key", buckets=8)
     store.insert(start, ["name"])
     store.insert(batch, ["o_orderkey"])
     store.insert(batch, ["o_orderkey"])

@@ -46,5 +46,4 @@ def curate(records: DataFrame, key: str, value: str, label: str, threshold: str
             (F.col(threshold).cast("double") if threshold else nothing.cast("double")).alias("__limit"),
         )
     )
-    labels = drop_groups(label_consensus(rows, [key], "__label", "__value", "__limit"))
-    return labels.join(numbers.select(key, "value"), key, "left").select(key, "value", "label", "group")
+    return drop_groups(label_consensus(rows, [key], "__label", "__value", "__limit", value_name="value"))

@@ -36,12 +36,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpointing(spark: SparkSession) -> None:
-    """Give ``DataFrame.checkpoint()`` a reliable folder if the session has none."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
-
-
 def bucket_count(spark: SparkSession) -> int:
     """How many pieces one sort key is cut into; follows the cluster's setting."""
     return max(32, min(20_000, int(spark.conf.get("spark.sql.shuffle.partitions"))))

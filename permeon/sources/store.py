@@ -71,19 +71,39 @@ def prediction_record(
 class ResultStore:
     """Parquet folder whose rows are unique on ``key``.
 
-    A repeated or resumed insert adds nothing, which makes it safe as the sink
-    of a retried batch. One writer at a time: Parquet has no row locks.
+    Rows lie in ``buckets`` folders by key hash, so an insert looks only into
+    the folders its own keys fall into. A repeated or resumed insert adds
+    nothing, which makes the store safe as the sink of a retried batch. One
+    writer at a time: Parquet has no row locks.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str):
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+    BUCKET = "key_bucket"
 
-    def read(self) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+
+    def _stored(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField(self.BUCKET, T.IntegerType())])
         try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(self.path)
         except AnalysisException:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame:
+        return self._stored().drop(self.BUCKET)
 
     def insert(self, batch: DataFrame, order: Sequence[str]) -> None:
-        fresh = rows_to_insert(self.read(), batch, self.key, order)
-        align_to(fresh, self.schema).write.mode("append").parquet(self.path)
+        """Add the rows with new keys; the first in ``order`` wins inside the batch."""
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        first = dedup_first(batch, [self.key], order).withColumn(self.BUCKET, bucket).persist()
+        try:
+            touched = [r[0] for r in first.select(self.BUCKET).distinct().collect()]
+            known = self._stored().filter(F.col(self.BUCKET).isin(touched)).select(
+                F.col(self.key).alias("__key"), F.col(self.BUCKET).alias("__bucket")
+            )
+            same = (first[self.BUCKET] == F.col("__bucket")) & first[self.key].eqNullSafe(F.col("__key"))
+            fresh = first.join(known, same, "left_anti")
+            aligned = align_to(fresh, T.StructType([*self.schema.fields, T.StructField(self.BUCKET, T.IntegerType())]))
+            aligned.repartition(self.BUCKET).write.mode("append").partitionBy(self.BUCKET).parquet(self.path)
+        finally:
+            first.unpersist()
