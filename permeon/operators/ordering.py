@@ -1,8 +1,8 @@
 """Positions and running totals over a global order, without a one-task window.
 
 ``Window.orderBy`` with no partition sends every row to one task, and a
-partition key that holds a third of the table does nearly the same. Here the
-order is first cut into buckets by a pure function of the sort key: quantile
+partition key that holds a third of the table does nearly the same. Here the order (of the
+whole table, or of a hot group) is first cut into buckets by a pure function of the sort key: quantile
 bounds, with a bucket of its own for any value that repeats across bounds, so
 ties can be cut further by the next sort key. A small table of bucket totals
 then turns bucket-local running sums into global ones. The bounds only decide
@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from permeon.functions.draws import DRAW_BITS
 from permeon.session import bucket_count
 
 _INF = float("inf")
+MIN_HOT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,18 @@ def with_order_bucket(
     return out.withColumn(name, code).drop(*temps)
 
 
+def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> list[Row]:
+    """Keys of the groups too large for one task.
+
+    The default limit is a quarter of an even task's share, so that at most four
+    keys per shuffle partition can be over it and the list stays small.
+    """
+    if hot_rows is None:
+        hot_rows = max(MIN_HOT_ROWS, df.count() // (4 * bucket_count(df.sparkSession)))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.filter(F.col("__n") > hot_rows).select(*by).collect()
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[str] | str,
@@ -117,45 +130,75 @@ def running_totals(
     ascending: Sequence[bool] | bool = True,
     cuts: Sequence[Cuts] | None = None,
     totals: Mapping[str, str] | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` in the given order, per ``by`` group.
 
     ``totals`` maps a measure to the name of an extra column with its group
     total. ``order`` must be a total order within a group for reproducible
     results. Missing sort keys come last in both directions.
+
+    Without ``cuts``, groups are looked at first and only those over
+    ``hot_rows`` are cut into buckets; with ``cuts`` every group is.
     """
     order = [order] if isinstance(order, str) else list(order)
     ascending = [ascending] * len(order) if isinstance(ascending, bool) else list(ascending)
-    cuts = quantile_cuts(df, order) if cuts is None else cuts
     totals = dict(totals or {})
+    for c in order:
+        _numeric(df, c)
+
+    # A struct compares NULL members as equal and is never NULL itself, so joins
+    # on it stay plain equi-joins on the window's own partitioning.
+    grouped = df.withColumn("__group", F.struct(*[F.col(c) for c in by]) if by else F.lit(0))
+    if not by or cuts is not None:
+        cuts = quantile_cuts(df, order) if cuts is None else cuts
+        coded = with_order_bucket(grouped, order, ascending, cuts, "__bucket")
+        cut_rows = coded
+    else:
+        hot = hot_groups(df, by, hot_rows)
+        if hot:
+            keys = df.sparkSession.createDataFrame(hot, df.select(*by).schema)
+            keys = keys.select(F.struct(*by).alias("__group"), F.lit(True).alias("__hot"))
+            flagged = grouped.join(F.broadcast(keys), "__group", "left")  # at most a few keys per partition
+            cuts = quantile_cuts(flagged.filter("__hot"), order)
+            coded = with_order_bucket(flagged, order, ascending, cuts, "__bucket")
+            coded = coded.withColumn("__bucket", F.when(F.col("__hot"), F.col("__bucket")).otherwise(F.lit(-1)))
+            cut_rows = coded.filter("__hot")
+        else:
+            coded, cut_rows = grouped.withColumn("__bucket", F.lit(-1)), None
 
-    # A struct compares NULL members as equal and is never NULL itself, so the
-    # join back below stays a plain equi-join on the window's own partitioning.
-    group = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
-    coded = with_order_bucket(df, order, ascending, cuts, "__bucket").withColumn("__group", group)
+    sort = [
+        F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(order, ascending)
+    ]
     names = list(measures)
-    sums = coded.groupBy("__group", "__bucket").agg(*[F.sum(measures[m]).alias(f"__{m}") for m in names])
+    bucket = Window.partitionBy("__group", "__bucket")
+    upto = bucket.orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    here = coded.select(
+        "*",
+        *[F.sum(measures[m]).over(upto).alias(f"__{m}") for m in names],
+        *[F.sum(measures[m]).over(bucket).alias(f"__all_{m}") for m in totals],
+    )
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    if cut_rows is None:
+        return here.select(
+            *kept, *[F.col(f"__{m}").alias(m) for m in names], *[F.col(f"__all_{m}").alias(t) for m, t in totals.items()]
+        )
 
     # At most one row per bucket here, however large the group.
+    sums = cut_rows.groupBy("__group", "__bucket").agg(*[F.sum(measures[m]).alias(f"__{m}") for m in names])
     before = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("__group")
     offsets = sums.select(
         "__group",
         "__bucket",
-        *[F.coalesce(F.sum(f"__{m}").over(before), F.lit(0)).alias(f"__before_{m}") for m in names],
-        *[F.sum(f"__{m}").over(whole).alias(t) for m, t in totals.items()],
+        *[F.sum(f"__{m}").over(before).alias(f"__before_{m}") for m in names],
+        *[F.sum(f"__{m}").over(whole).alias(f"__total_{m}") for m in totals],
     )
-
-    keys = [
-        F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(order, ascending)
-    ]
-    local = Window.partitionBy("__group", "__bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    here = coded.select("*", *[F.sum(measures[m]).over(local).alias(f"__{m}") for m in names])
-    joined = here.join(offsets, ["__group", "__bucket"])
+    joined = here.join(offsets, ["__group", "__bucket"], "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"__{m}") + F.col(f"__before_{m}")).alias(m) for m in names],
-        *totals.values(),
+        *kept,
+        *[(F.col(f"__{m}") + F.coalesce(f"__before_{m}", F.lit(0))).alias(m) for m in names],
+        *[F.coalesce(f"__total_{m}", f"__all_{m}").alias(t) for m, t in totals.items()],
     )
 
 
@@ -168,10 +211,11 @@ def ranked(
     ascending: Sequence[bool] | bool = True,
     cuts: Sequence[Cuts] | None = None,
     total: str | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Dense position of each row in its group; ``total`` adds the group size."""
     out = running_totals(
-        df, order, {name: F.lit(1)}, by, ascending, cuts, {name: total} if total else None
+        df, order, {name: F.lit(1)}, by, ascending, cuts, {name: total} if total else None, hot_rows
     )
     return out if start == 1 else out.withColumn(name, F.col(name) - F.lit(1 - start))
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from permeon.functions.draws import draw, unit_draw
-from permeon.operators.ordering import quantile_cuts, ranked, ranked_by_draw, running_totals
+from permeon.operators.ordering import hot_groups, quantile_cuts, ranked, ranked_by_draw, running_totals
 from permeon.operators.quantiles import exact_quantiles
 
 
@@ -19,11 +19,12 @@ def skewed(n=4000, seed=1):
     return pd.DataFrame({"id": rng.permutation(n), "g": group, "v": value})
 
 
+@pytest.mark.parametrize("hot_rows", [None, 300])
 @pytest.mark.parametrize("up", [[True, True], [False, True], [True, False]])
-def test_ranks_with_ties_and_hot_groups(spark, up):
+def test_ranks_with_ties_and_hot_groups(spark, up, hot_rows):
     pdf = skewed()
     df = spark.createDataFrame(pdf)
-    got = ranked(df, ["v", "id"], by=["g"], name="pos", ascending=up, total="n").toPandas()
+    got = ranked(df, ["v", "id"], by=["g"], name="pos", ascending=up, total="n", hot_rows=hot_rows).toPandas()
     want = pdf.sort_values(["v", "id"], ascending=up)
     want["pos"] = want.groupby("g").cumcount()
     both = got.merge(want, on="id", suffixes=("", "_want"))
@@ -44,12 +45,18 @@ def test_missing_keys_come_last(spark):
         assert got[first] == 0 and got[1] == 2 and got[4] == 3
 
 
-def test_null_groups_are_kept(spark):
+@pytest.mark.parametrize("hot_rows", [None, 1, 0])
+def test_null_groups_are_kept(spark, hot_rows):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v int")
-    got = {r["v"]: r["pos"] for r in ranked(df, "v", by=["g"], name="pos").collect()}
+    got = {r["v"]: r["pos"] for r in ranked(df, "v", by=["g"], name="pos", hot_rows=hot_rows).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_only_hot_groups_are_cut(spark):
+    df = spark.createDataFrame(skewed())
+    assert [r["g"] for r in hot_groups(df, ["g"], 300)] == ["hot"] and hot_groups(df, ["g"]) == []
+
+
 def test_running_totals(spark):
     pdf = skewed(1000)
     df = spark.createDataFrame(pdf).withColumn("w", F.col("id") % 10)
