@@ -13,7 +13,7 @@ from permeon.plans.catalog.inputs import (
     results,
     sparse_events,
 )
-from permeon.plans.catalog.registry import Tables, half_even_sql, query
+from permeon.plans.catalog.registry import Tables, half_even_sql, nullable, query
 from permeon.plans.curation import curate
 
 
@@ -238,14 +238,14 @@ def pick_name(spark, d):
 
 @query(
     "pick_id",
-    "SELECT l_orderkey, min(CASE WHEN l_linenumber > 1 THEN l_partkey END) AS picked_id FROM lineitem GROUP BY 1",
+    "SELECT l_orderkey, CAST(min(CASE WHEN l_linenumber > 1 THEN l_partkey END) AS DOUBLE) AS picked_id FROM lineitem GROUP BY 1",
 )
 def pick_id(spark, d):
     li = Tables(spark, d).lineitem.select(
         "l_orderkey",
         F.when(F.col("l_linenumber") > 1, F.concat(F.col("l_partkey"), F.lit(".0"))).otherwise("nan").alias("cid"),
     )
-    return consensus.pick_id(li, ["l_orderkey"], "cid")
+    return nullable(consensus.pick_id(li, ["l_orderkey"], "cid"), "picked_id")
 
 
 @query(

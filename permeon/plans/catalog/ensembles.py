@@ -10,7 +10,7 @@ from permeon.operators.aggregates import batch_summary
 from permeon.plans.batch_scoring import order_for_display, resolve_inputs, score_batch
 from permeon.plans.catalog.analysis import rounded
 from permeon.plans.catalog.inputs import RESULTS, results, scores, scores_sql
-from permeon.plans.catalog.registry import Tables, query
+from permeon.plans.catalog.registry import Tables, nullable, query
 from permeon.plans.display import format_results
 
 THREE = ("KNN", "LGBM", "ET")
@@ -240,7 +240,7 @@ _BATCH_INPUT = """part_input AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN p_
       stddev_pop(p1) * 100 AS uncertainty, count(*) AS num_models FROM s GROUP BY ALL)
     SELECT p_partkey, input, name, smiles, 'Success' AS status, NULL AS error,
       CASE WHEN share >= 0.5 THEN 'BBB+' ELSE 'BBB-' END AS prediction, round(confidence, 5) AS confidence,
-      round(uncertainty, 5) AS uncertainty, round({_fold('share * 100')}, 5) AS agreement, num_models FROM v
+      round(uncertainty, 5) AS uncertainty, round({_fold('share * 100')}, 5) AS agreement, CAST(num_models AS DOUBLE) AS num_models FROM v
     UNION ALL SELECT p_partkey, input, name, smiles, 'Error', CASE WHEN smiles IS NULL THEN 'Could not process molecule'
       ELSE 'Descriptor calculation failed' END, NULL, NULL, NULL, NULL, NULL
     FROM resolved WHERE smiles IS NULL OR smiles NOT IN (SELECT p_brand FROM feats)""",
@@ -275,7 +275,8 @@ def score_batch_query(spark, d):
         {m: _head(m) for m in _HEADS},
         ["qty", "price"],
     )
-    return order_for_display(rounded(out, 5, "confidence", "uncertainty", "agreement"), "p_partkey")
+    shown = rounded(nullable(out, "num_models"), 5, "confidence", "uncertainty", "agreement")
+    return order_for_display(shown, "p_partkey")
 
 
 # ---- evaluation --------------------------------------------------------------------------

@@ -34,6 +34,11 @@ class Tables:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
+def nullable(df: DataFrame, *cols: str) -> DataFrame:
+    """Optional counts and ids as doubles, which every client shows alike when some are missing."""
+    return df.withColumns({c: df[c].cast("double") for c in cols})
+
+
 def draw_sql(seed: int | str, *keys: str) -> str:
     """The draw of :mod:`permeon.functions.draws` in DuckDB SQL."""
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 15))::BIGINT"

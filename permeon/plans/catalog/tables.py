@@ -15,7 +15,7 @@ from permeon.plans.catalog.inputs import (
     sparse_events,
     sparse_items,
 )
-from permeon.plans.catalog.registry import Tables, draw_sql, query
+from permeon.plans.catalog.registry import Tables, draw_sql, nullable, query
 from permeon.session import scratch_dir
 from permeon.sources.columns import as_batch_input
 from permeon.sources.delimited import read_delimited, write_delimited
@@ -121,7 +121,7 @@ def insert_query(spark, d):
 
 @query(
     "append_aligned",
-    """SELECT s_suppkey AS key, s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier
+    """SELECT s_suppkey AS key, s_name AS name, CAST(s_nationkey AS DOUBLE) AS nation, s_acctbal AS balance FROM supplier
     UNION ALL SELECT c_custkey, c_name, NULL, c_acctbal FROM customer
     WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
 )
@@ -133,7 +133,7 @@ def append_query(spark, d):
     new = projection.project(
         t.customer, {"c_custkey": "key", "c_mktsegment": "segment", "c_acctbal": "balance", "c_name": "name"}
     )
-    return append_aligned(target, new, "key")
+    return nullable(append_aligned(target, new, "key"), "nation")
 
 
 @query(
@@ -194,14 +194,14 @@ def drop_null_rows(spark, d):
 
 @query(
     "drop_sparse_rows",
-    f"""WITH {SPARSE_EVENTS} SELECT event_id, user_id, event_type,
+    f"""WITH {SPARSE_EVENTS} SELECT event_id, CAST(user_id AS DOUBLE) AS user_id, event_type,
     CASE WHEN NOT isnan(value) THEN value END AS value FROM sparse
     WHERE (user_id IS NOT NULL)::INT + (event_type IS NOT NULL)::INT
         + (value IS NOT NULL AND NOT isnan(value))::INT >= 2""",
 )
 def drop_sparse(spark, d):
     kept = filters.drop_sparse_rows(sparse_events(spark, d), ["user_id", "event_type", "value"], 0.5)
-    return kept.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    return nullable(kept, "user_id").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 @query(
@@ -317,11 +317,13 @@ def drop_blank(spark, d):
 
 @query(
     "left_join",
-    "SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    """SELECT d.doc_id, n_chars, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def left_join(spark, d):
     t = Tables(spark, d)
-    return joins.join_features(t.documents.select("doc_id", "n_chars"), t.labels, "doc_id", "left")
+    joined = joins.join_features(t.documents.select("doc_id", "n_chars"), t.labels, "doc_id", "left")
+    return nullable(joined, "quality", "toxic")
 
 
 @query(
@@ -361,24 +363,26 @@ def anti_join(spark, d):
     "positional_join",
     """WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_pos FROM part),
     b AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
-    SELECT row_pos, p_partkey, o_orderstatus, o_orderkey FROM a LEFT JOIN b ON pos - 3001 = row_pos AND pos >= 3001 AND pos < 6001""",
+    SELECT row_pos, p_partkey, o_orderstatus, CAST(o_orderkey AS DOUBLE) AS o_orderkey FROM a LEFT JOIN b ON pos - 3001 = row_pos AND pos >= 3001 AND pos < 6001""",
 )
 def positional_join(spark, d):
     t = Tables(spark, d)
-    return joins.zip_join(
+    zipped = joins.zip_join(
         t.part.select("p_partkey"), t.orders, "p_partkey", "o_orderkey", 3001, 6001, ["o_orderstatus", "o_orderkey"], "left"
     )
+    return nullable(zipped, "o_orderkey")
 
 
 @query(
     "horizontal_concat",
     """WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row_pos FROM customer),
     b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS row_pos FROM part)
-    SELECT row_pos, c_custkey, p_partkey FROM a FULL JOIN b USING (row_pos)""",
+    SELECT row_pos, CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(p_partkey AS DOUBLE) AS p_partkey FROM a FULL JOIN b USING (row_pos)""",
 )
 def horizontal_concat(spark, d):
     t = Tables(spark, d)
-    return joins.hconcat(t.customer.select("c_custkey"), t.part.select("p_partkey"), "c_custkey", "p_partkey")
+    both = joins.hconcat(t.customer.select("c_custkey"), t.part.select("p_partkey"), "c_custkey", "p_partkey")
+    return nullable(both, "c_custkey", "p_partkey")
 
 
 @query(
@@ -428,7 +432,7 @@ def union_query(spark, d):
 
 @query(
     "schema_report",
-    """WITH n AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM labels) AS b)
+    """WITH n AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS a, (SELECT count(*) FROM labels)::DOUBLE AS b)
     SELECT 'doc_id' AS "column", 'both' AS side, a AS filled_a, b AS filled_b FROM n
     UNION ALL SELECT 'text', 'only_a', a, NULL FROM n UNION ALL SELECT 'lang', 'only_a', a, NULL FROM n
     UNION ALL SELECT 'source', 'only_a', a, NULL FROM n UNION ALL SELECT 'n_chars', 'only_a', a, NULL FROM n
@@ -436,7 +440,7 @@ def union_query(spark, d):
 )
 def schema_report(spark, d):
     t = Tables(spark, d)
-    return sets.schema_report(t.documents, t.labels)
+    return nullable(sets.schema_report(t.documents, t.labels), "filled_a", "filled_b")
 
 
 @query("distinct_values", "SELECT DISTINCT user_id FROM events")
