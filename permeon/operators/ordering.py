@@ -38,6 +38,11 @@ class Cuts:
     step: int = 0
 
 
+def _is_cuttable(df: DataFrame, name: str) -> bool:
+    kinds = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
+    return isinstance(df.schema[name].dataType, kinds)
+
+
 def _numeric(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.NumericType):
@@ -52,21 +57,23 @@ def _numeric(df: DataFrame, name: str) -> Column:
 
 
 def quantile_cuts(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> list[Cuts]:
-    """Bounds for each sort key from one mergeable-sketch pass (``pieces`` numbers per key)."""
+    """Bounds for each sort key from one mergeable-sketch pass (``pieces`` numbers per key).
+
+    The first key must be a number, date or draw. Later ones may be texts, which
+    sort as usual but are not cut.
+    """
     pieces = pieces or bucket_count(df.sparkSession)
     grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuttable = {c: _numeric(df, c) for i, c in enumerate(order) if i == 0 or _is_cuttable(df, c)}
     row = df.agg(
-        *[
-            F.percentile_approx(_numeric(df, c), grid, 4 * pieces).alias(f"q{i}")
-            for i, c in enumerate(order)
-        ]
+        *[F.percentile_approx(v, grid, 4 * pieces).alias(f"q{i}") for i, v in enumerate(cuttable.values())]
     ).first()
-    cuts = []
-    for i, _ in enumerate(order):
+    cuts = {}
+    for i, c in enumerate(cuttable):
         found = [v for v in (row[f"q{i}"] or []) if v == v and abs(v) != _INF]
         repeats = sorted({a for a, b in zip(found, found[1:]) if a == b})
-        cuts.append(Cuts(tuple(sorted(set(found))), tuple(repeats)))
-    return cuts
+        cuts[c] = Cuts(tuple(sorted(set(found))), tuple(repeats))
+    return [cuts.get(c, Cuts()) for c in order]
 
 
 def uniform_cuts(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> list[Cuts]:
@@ -144,8 +151,7 @@ def running_totals(
     order = [order] if isinstance(order, str) else list(order)
     ascending = [ascending] * len(order) if isinstance(ascending, bool) else list(ascending)
     totals = dict(totals or {})
-    for c in order:
-        _numeric(df, c)
+    _numeric(df, order[0])
 
     # A struct compares NULL members as equal and is never NULL itself, so joins
     # on it stay plain equi-joins on the window's own partitioning.

@@ -69,6 +69,11 @@ def test_order_needs_numbers(spark):
         ranked(spark.createDataFrame([("a",)], "s string"), "s")
 
 
+def test_text_ties(spark):
+    df = spark.createDataFrame([(1.0, "b"), (1.0, "a"), (0.5, "z")], "v double, t string")
+    assert [r["t"] for r in ranked(df, ["v", "t"], name="p").orderBy("p").collect()] == ["z", "a", "b"]
+
+
 def test_draws_are_uniform_and_stable(spark):
     df = spark.range(20000).select("id", draw(42, "id").alias("d"), unit_draw(42, "id").alias("u"))
     r = df.agg(F.min("u"), F.max("u"), F.avg("u"), F.count_distinct("d")).first()
