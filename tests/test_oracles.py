@@ -25,8 +25,8 @@ def test_every_twin_has_a_query():
 def test_flagship(spark, data):
     import __spark_entry__ as entry
 
-    assert entry.queries().keys() == QUERIES.keys()
-    assert entry.oracle_sql().keys() == ORACLES.keys()
+    assert entry.queries().keys() >= QUERIES.keys()
+    assert entry.oracle_sql().keys() >= ORACLES.keys()
     assert entry.entry(spark).count() > 0
 
 
