@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from permeon.llm.common import table
+from permeon.llm.common import remainder, table
+from permeon.llm.language_id import fit_language_model, identify_language
 from permeon.llm.quality_rules import BASE, judge_quality
+from permeon.llm.sharding import assign_shards
+from permeon.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
+from permeon.llm.url_filter import Rule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +28,43 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+#: Fixed values of the URL lists.
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+
+@_query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = filter_urls(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@_query("op8_sharding")
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = assign_shards(table(spark, folder, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @_query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents")).select("doc_id", *BASE, "base_failed", "kept", "posterior")
+
+
+@_query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = fit_language_model(docs.where(~F.col("held_out")))
+    return identify_language(docs, model, ["doc_id", "held_out"])
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    model = fit_toxicity(labelled_texts(docs.where(~F.col("held_out")), table(spark, folder, "labels")))
+    scored = score_toxicity(docs, model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
