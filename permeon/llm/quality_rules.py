@@ -27,8 +27,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 ROUNDS = 60
-#: Pseudo-votes that hold an estimate near "right four times of five" where votes are few.
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
+#: Where EM starts, and what it keeps to where votes are few: a rule is seldom against a good
+#: text, and finds about one bad text of three. The weight counts as so many votes.
+FOR_GOOD, AGAINST_BAD, PRIOR_VOTES = 0.98, 0.3, 20.0
 #: Pseudo-documents of either class.
 PRIOR_GOOD, PRIOR_BAD = 4.0, 1.0
 
@@ -72,6 +73,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("_text", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.length(F.regexp_replace("_text", r"[^0-9]+", "")).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("_text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
     )
 
@@ -90,11 +92,12 @@ def rules() -> dict[str, Column]:
     """The rules by name, each a vote over the columns of :func:`text_features`."""
     length, symbols, lines = _share("word_chars", "n_words"), _share("n_symbols", "n_words"), _share("n_dup_lines", "n_lines")
     repeats, capitals, digits = _share("n_repeat_words", "n_words"), _share("n_capitals", "word_chars"), _share("n_digits", "word_chars")
-    variety = _share("n_distinct", "n_words")
+    variety, letters = _share("n_distinct", "n_words"), _share("n_letters", "word_chars")
     return {
         "size": _vote(F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
         "word_length": _vote((length < 2.5) | (length > 12), (length >= 3) & (length <= 10)),
         "symbols": _vote(symbols > 0.1, symbols < 0.02),
+        "letters": _vote(letters < 0.88, letters > 0.93),
         "lines": _vote(lines > 0.3, (F.col("n_lines") > 1) & (lines < 0.05)),
         "repeats": _vote(repeats > 0.3, repeats < 0.1),
         "capitals": _vote(capitals > 0.3, capitals < 0.1),
@@ -108,11 +111,10 @@ def fit(patterns: list[tuple[tuple, int]], n_rules: int, rounds: int = ROUNDS) -
 
     With no patterns the priors are returned.
     """
-    right = PRIOR_RIGHT / (PRIOR_RIGHT + PRIOR_WRONG)
-    model = {"good": PRIOR_GOOD / (PRIOR_GOOD + PRIOR_BAD), "for_good": [right] * n_rules, "against_bad": [right] * n_rules}
+    model = {"good": PRIOR_GOOD / (PRIOR_GOOD + PRIOR_BAD), "for_good": [FOR_GOOD] * n_rules, "against_bad": [AGAINST_BAD] * n_rules}
     for _ in range(rounds):
         good, bad = PRIOR_GOOD, PRIOR_BAD
-        hits = [[PRIOR_RIGHT, PRIOR_RIGHT + PRIOR_WRONG, PRIOR_RIGHT, PRIOR_RIGHT + PRIOR_WRONG] for _ in range(n_rules)]
+        hits = [[FOR_GOOD * PRIOR_VOTES, PRIOR_VOTES, AGAINST_BAD * PRIOR_VOTES, PRIOR_VOTES] for _ in range(n_rules)]
         for votes, count in patterns:
             p = count / (1 + math.exp(-max(-500.0, min(500.0, log_odds(model, votes)))))
             q = count - p
