@@ -73,7 +73,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("_text", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.length(F.regexp_replace("_text", r"[^0-9]+", "")).cast("long").alias("n_digits"),
-        F.length(F.regexp_replace("_text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("_text", r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_letters"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_distinct"),
     )
 
@@ -98,7 +98,7 @@ def rules() -> dict[str, Column]:
         "word_length": _vote((length < 2.5) | (length > 12), (length >= 3) & (length <= 10)),
         "symbols": _vote(symbols > 0.1, symbols < 0.02),
         "letters": _vote(letters < 0.88, letters > 0.93),
-        "lines": _vote(lines > 0.3, (F.col("n_lines") > 1) & (lines < 0.05)),
+        "lines": _vote((lines > 0.3) & (F.col("n_dup_lines") > 2), (F.col("n_lines") > 1) & (lines < 0.05)),
         "repeats": _vote(repeats > 0.3, repeats < 0.1),
         "capitals": _vote(capitals > 0.3, capitals < 0.1),
         "digits": _vote(digits > 0.2, digits < 0.05),

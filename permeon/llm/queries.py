@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from permeon.llm.common import remainder, table
 from permeon.llm.language_id import fit_language_model, identify_language
+from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
 from permeon.llm.sharding import assign_shards
 from permeon.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
@@ -68,3 +69,9 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_toxicity(labelled_texts(docs.where(~F.col("held_out")), table(spark, folder, "labels")))
     scored = score_toxicity(docs, model, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+@_query("op3_packing")
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(table(spark, folder, "documents"), 2048, with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
