@@ -12,6 +12,7 @@ from permeon.llm.language_id import fit_language_model, identify_language
 from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
 from permeon.llm.sharding import assign_shards
+from permeon.llm.simhash import near_duplicates
 from permeon.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 from permeon.llm.url_filter import Rule, filter_urls
 
@@ -75,3 +76,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), 2048, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@_query("op10_simhash")
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
