@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permeon.llm.common import remainder, table
+from permeon.llm.decontamination import find_contamination, is_contaminated
 from permeon.llm.language_id import fit_language_model, identify_language
 from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
@@ -81,3 +82,44 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def _words_sql(relation: str, key: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT {key}, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {relation}"
+
+
+OP6_SQL = f"""
+WITH item AS ({_words_sql('benchmark', 'item_id')}), doc AS ({_words_sql('documents', 'doc_id')}),
+win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS t
+  FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT k FROM win),
+place AS (
+  SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS t
+  FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM doc, sizes WHERE len(w) >= k)
+),
+hit AS (SELECT DISTINCT p.doc_id, p.i, p.k, win.item_id FROM place p JOIN win ON p.k = win.k AND p.t = win.t),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS at FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@_query("op6_decontamination", OP6_SQL)
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
+    )
