@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from permeon.llm.common import remainder, table
 from permeon.llm.decontamination import find_contamination, is_contaminated
 from permeon.llm.language_id import fit_language_model, identify_language
+from permeon.llm.license_scan import license_templates, scan_licenses
 from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
 from permeon.llm.sharding import assign_shards
@@ -123,3 +124,9 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+@_query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents"), license_templates(spark))
+    return found.select("doc_id", F.size("matches").alias("n_licenses"), F.concat_ws(",", "matches.license_id").alias("licenses"), F.array_max("matches.containment").alias("containment"))
