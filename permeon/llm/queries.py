@@ -15,6 +15,7 @@ from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
 from permeon.llm.sharding import assign_shards
 from permeon.llm.simhash import near_duplicates
+from permeon.llm.suffix_dedup import removal_report
 from permeon.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 from permeon.llm.url_filter import Rule, filter_urls
 
@@ -130,3 +131,8 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_licenses(table(spark, folder, "documents"), license_templates(spark))
     return found.select("doc_id", F.size("matches").alias("n_licenses"), F.concat_ws(",", "matches.license_id").alias("licenses"), F.array_max("matches.containment").alias("containment"))
+
+
+@_query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return removal_report(table(spark, folder, "documents"))
