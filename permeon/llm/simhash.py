@@ -150,7 +150,7 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     found = near_duplicates(docs, words)
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fingerprint")))
     first = found.groupBy(group.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"))
-    kept = first.select(F.col("_first.doc_id").alias("_kept_id"), F.col("_first.text_hash").alias("_kept_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_hash"))
-    chosen = docs.join(kept, same, "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return chosen.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    id_text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = first.select(id_text(F.col("_first.doc_id")).alias("_id"), F.col("_first.text_hash").alias("_hash"))
+    keyed = docs.withColumns({"_id": id_text(F.col("doc_id")), "_hash": F.xxhash64("text")})
+    return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
