@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permeon.llm.common import LOWER, stored, text_blocks
+from permeon.llm.common import LOWER, mix, stored, text_blocks
 from permeon.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints of a signature that one numpy search takes; at least 2048, see above.
 GROUP = 2048
+#: Cells of the bitmap that spares signatures of no large group; 512 KB.
+CELL_BITS = 22
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -77,15 +79,35 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return rows.mapInArrow(of_batches, f"doc_id {key}, text_hash bigint, fp bigint")
 
 
-def _signatures(members: DataFrame, width: int) -> DataFrame:
-    """One-wildcard variants of both halves of the ``width`` bits that start at bit ``lo``; ``lo`` then names the other half."""
+def _signatures(members: DataFrame, width: int, wanted=None) -> DataFrame:
+    """One-wildcard variants of both halves of the ``width`` bits that start at bit ``lo``; ``lo`` then names the other half.
+
+    ``wanted``, a broadcast bitmap of CELL_BITS-bit cells, leaves out keys whose cell is not set.
+    """
     half = width // 2
-    places = F.explode(F.sequence(F.lit(0), F.lit(2 * half - 1)))
-    rows = members.select("key", "fp", "lo", places.alias("p"))
-    masked = f"shiftrightunsigned(fp, lo + (p div {half}) * {half}) & {(1 << half) - 1}L & ~shiftleft(1L, p % {half})"
-    return rows.select(
-        F.expr(f"xxhash64(key, p, {masked})").alias("key"), "fp", F.expr(f"lo + (1 - p div {half}) * {half}").cast("int").alias("lo")
-    )
+
+    def variants(batches):
+        bits = None if wanted is None else np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            key, fp = (np.array(batch.column(i), np.int64).view(np.uint64) for i in (0, 1))
+            lo, found = np.array(batch.column(2), np.int64), []
+            for h in (0, 1):
+                part = fp >> (lo + h * half).astype(np.uint64) & np.uint64((1 << half) - 1)
+                for b in range(half):
+                    new = mix(mix(key + np.uint64(h * half + b + 1)) ^ part & ~np.uint64(1 << b))
+                    at = slice(None) if bits is None else bits[(new >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    found.append((new[at].view(np.int64), fp[at].view(np.int64), (lo + (1 - h) * half)[at].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "fp", "lo"])
+
+    return members.select("key", "fp", "lo").mapInArrow(variants, "key bigint, fp bigint, lo int")
+
+
+def _cells(keys: DataFrame):
+    """Broadcast bitmap of the keys' cells: 2 ** CELL_BITS bits, however many keys there are."""
+    cell = F.expr(f"shiftrightunsigned(key, {64 - CELL_BITS})")
+    bits = np.zeros(1 << CELL_BITS, bool)
+    bits[keys.select(cell.alias("c")).distinct().toArrow().column("c").to_numpy()] = True
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
 
 def _forest(batches):
@@ -116,6 +138,7 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
         sizes = stored(sizes.where("n > 1"), "signatures")
         found.append(sizes.where(f"n = 2 AND bit_count(u ^ v) <= {MAX_BITS}").select("u", "v"))
         bound = group if width > 16 else 1 << 62
+        signed = _signatures(members, width, _cells(sizes.where("n > 2").select("key")))
         several = signed.join(sizes.where(f"n > 2 AND n <= {bound}").select("key"), "key")
         grouped = several.groupBy("key").agg(F.collect_list("fp").alias("fps"))
         found.append(grouped.select("fps").mapInArrow(_forest, "u bigint, v bigint"))

@@ -276,12 +276,12 @@ def _total_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
 
 
-def _removal(docs: DataFrame, length: int):
+def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int, hot_pieces: int):
     """The documents by group, and what each group gets to know, as packed rows."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     total = _total_bytes(docs)
-    groups, buckets = max(32, -(-total // GROUP_BYTES)), max(32, -(-total // BUCKET_BYTES))
+    groups, buckets = max(32, -(-total // group_bytes)), max(32, -(-total // bucket_bytes))
     deal = F.pmod(F.xxhash64("_id", "_text"), F.lit(groups))
     docs = docs.withColumn("_group", deal)
     by_group = docs.groupBy("_group")
@@ -300,7 +300,7 @@ def _removal(docs: DataFrame, length: int):
         rows = [np.frombuffer(x, np.uint32) for x in table.column("anchors").to_pylist()]
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("pieces").to_pylist()]).astype(np.int64)
         _, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        code = (seen > 1).astype(np.uint8) + 2 * (np.bincount(place, weights=n) > HOT_PIECES).astype(np.uint8)
+        code = (seen > 1).astype(np.uint8) + 2 * (np.bincount(place, weights=n) > hot_pieces).astype(np.uint8)
         cuts = np.cumsum([len(r) for r in rows])[:-1]
         answers = np.split(code[place], cuts)
         return pa.table({"kind": pa.array(np.zeros(len(rows)), pa.int32()), "_group": table.column("_group"), "bucket": table.column("bucket"), "payload": _binary(answers)})
@@ -394,9 +394,11 @@ def _prepared(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), *more)
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removal_report(
+    docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    by_group, known = _removal(_prepared(docs), length)
+    by_group, known = _removal(_prepared(docs), length, group_bytes, bucket_bytes, hot_pieces)
 
     def report(key, table, known):
         data, offsets, gone = removed_bytes(_column(table, "_text"), _ids(table), known, length)
@@ -412,7 +414,9 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return by_group.cogroup(known).applyInArrow(report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
     """All rows and columns of ``docs`` with what stays of each text; ``n_chars``, where there is one, follows.
 
     Characters that a cut has split are dropped. A text that had nothing removed is
@@ -420,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rest = F.struct(*(c for c in docs.columns if c != "text"))
     rows = _prepared(docs, rest.alias("_row"), F.col("text").isNull().alias("_null"))
-    by_group, known = _removal(rows, length)
+    by_group, known = _removal(rows, length, group_bytes, bucket_bytes, hot_pieces)
     kind = rows.schema["_row"].dataType.simpleString()
 
     def rewrite(key, table, known):
