@@ -22,8 +22,8 @@ def finite_or_null(c: Column | str) -> Column:
 
 
 def coerce_number(c: Column | str, fill: float | None = 0.0) -> Column:
-    """Text to double; what does not parse becomes ``fill``."""
-    number = _col(c).try_cast("double")
+    """Text to double; what does not parse, or is no number (NaN), becomes ``fill``."""
+    number = F.nanvl(_col(c).try_cast("double"), F.lit(None).cast("double"))
     return number if fill is None else F.coalesce(number, F.lit(float(fill)))
 
 
@@ -42,6 +42,11 @@ def impute_constant(
     )
 
 
+def not_nan(c: Column | str) -> Column:
+    """True for every value of a floating column but NaN, and for NULL."""
+    return ~F.coalesce(F.isnan(_col(c)), F.lit(False))
+
+
 def clip(c: Column | str, lo: float, hi: float) -> Column:
     """Clamp to [lo, hi]; NULL stays NULL (``greatest`` alone would drop it)."""
     c = _col(c)

@@ -43,12 +43,12 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space on both sides (``trim`` only takes blanks)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
 def clean_text(c: Column | str) -> Column:
     """Collapse white space and dot runs, cut boiler-plate, drop a short unfinished tail."""
-    out = F.regexp_replace(_col(c), r"\s+", " ")
+    out = F.regexp_replace(_col(c), r"(?U)\s+", " ")
     out = F.regexp_replace(out, r"\.{2,}", ".")
     for pattern in BOILERPLATE_PATTERNS:
         out = F.regexp_replace(out, f"(?i){pattern}", "")
@@ -109,7 +109,7 @@ def link(name: Column | str) -> Column:
 
 def normalise_key(c: Column | str) -> Column:
     """Canonical text key: one blank between words, lower case; blank gives NULL."""
-    key = F.lower(F.trim(F.regexp_replace(_col(c), r"\s+", " ")))
+    key = F.lower(F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " ")))
     return F.when(F.length(key) > 0, key)
 
 

@@ -26,13 +26,12 @@ def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
 
 
 def nunique_by(df: DataFrame, key: str, value: str, name: str = "n_values") -> DataFrame:
-    """Distinct values per key; more than one means a conflict.
+    """Distinct values per key, 0 where all are missing; more than one means a conflict.
 
     Two aggregations, so that the values of a hot key are first made distinct
     across tasks.
     """
-    pairs = df.filter(F.col(value).isNotNull()).select(key, value).distinct()
-    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return df.select(key, value).distinct().groupBy(key).agg(F.count(value).alias(name))
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permeon.functions.cleaning import finite_or_null
 from permeon.functions.labels import LOGBB_CUTOFF, NEGATIVE, POSITIVE, binarise
 from permeon.functions.rounding import decimals_in_hundredths, halves_even_div, hundredths
 
@@ -34,14 +35,17 @@ def numeric_consensus(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     dropped_E/F/G for tied modes (three tied, two of several tied, two only).
     """
     keys = list(keys)
-    measured = df.filter(F.col(value).isNotNull()).select(*keys, hundredths(value).alias("__h"))
+    number = df.withColumn("__v", finite_or_null(value)).filter(F.col("__v").isNotNull())
+    measured = number.select(*keys, hundredths("__v").alias("__h"))
     counts = measured.groupBy(*keys, "__h").agg(F.count(F.lit(1)).alias("__n"))
     spans = counts.groupBy(*keys).agg(
         F.min("__h").alias("__lo"),
         F.max("__h").alias("__hi"),
         F.min(decimals_in_hundredths(F.col("__h"))).alias("__d"),
+        F.sum("__n").alias("__rows"),
     )
-    kept = spans.filter(F.col("__hi") - F.col("__lo") <= SPAN_LIMIT)
+    # Looking at the row counts as well makes both sides of the join below one plan, so the counts are shuffled once.
+    kept = spans.filter((F.col("__hi") - F.col("__lo") <= SPAN_LIMIT) & (F.col("__rows") > 0)).drop("__rows")
 
     # From here on a key has at most 101 distinct values.
     rounded = (

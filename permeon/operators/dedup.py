@@ -11,9 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permeon.operators.ordering import ranked
-
-TOP_K_IN_ONE_TASK = 100_000
+from permeon.operators.ordering import ranked, sort_columns
 
 
 def _order_struct(df: DataFrame, order: Sequence[str]) -> Column:
@@ -53,10 +51,7 @@ def count_duplicates(df: DataFrame, keys: Sequence[str], digest: bool = False) -
 
 def order_rows(df: DataFrame, keys: Sequence[str], ascending: Sequence[bool] | bool = True) -> DataFrame:
     """Total sort with missing keys last in both directions."""
-    ups = [ascending] * len(keys) if isinstance(ascending, bool) else ascending
-    return df.orderBy(
-        *[F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, up in zip(keys, ups)]
-    )
+    return df.orderBy(*sort_columns(keys, ascending))
 
 
 def natural_key(col: str, pattern: str) -> Column:
@@ -75,15 +70,14 @@ def slice_rows(df: DataFrame, order: Sequence[str] | str, start: int, stop: int,
 
 
 def top_k(df: DataFrame, score: str, k: int, ties: Sequence[str] = ()) -> DataFrame:
-    """The k best rows by descending score, ``ties`` ascending.
+    """The k best rows, in order: descending score, then ``ties`` ascending, missing values last.
 
-    A report-sized k is kept per task and merged; a larger one is cut by exact
-    position, so its rows are never brought together in one task.
+    Rows are cut by exact position, so those of a large k are never brought
+    together in one task.
     """
-    if k <= TOP_K_IN_ONE_TASK:
-        return df.orderBy(F.col(score).desc_nulls_last(), *ties).limit(k)
     order, up = [score, *ties], [False] + [True] * len(ties)
-    return ranked(df, order, name="__pos", ascending=up).filter(F.col("__pos") < k).drop("__pos")
+    placed = ranked(df, order, name="__pos", ascending=up).filter(F.col("__pos") < k)
+    return placed.orderBy("__pos").drop("__pos")
 
 
 def best_by(df: DataFrame, metric: str, tie: str) -> DataFrame:

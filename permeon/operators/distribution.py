@@ -30,7 +30,12 @@ def histogram(df: DataFrame, col: str, bins: int = 10, discrete: bool = False) -
     values = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     if discrete:
         counts = values.groupBy(F.round("x").cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        return counts.select("bin", (F.col("bin") - 0.5).alias("lo"), (F.col("bin") + 0.5).alias("hi"), "n")
+        ends = counts.agg(F.min("bin"), F.max("bin")).first()
+        if ends[0] is None:
+            return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
+        every = df.sparkSession.range(ends[0], ends[1] + 1).withColumnRenamed("id", "bin")
+        filled = every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        return filled.select("bin", (F.col("bin") - 0.5).alias("lo"), (F.col("bin") + 0.5).alias("hi"), "n")
     ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     if ends["lo"] is None:
         return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)

@@ -84,11 +84,13 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
+    """Mean and deviation of the finite values; NULL, NaN and the infinities do not count."""
     row = df.agg(
         *[
             e
             for i, c in enumerate(cols)
-            for e in (F.avg(F.col(f"`{c}`")).alias(f"m{i}"), F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}"))
+            for v in (finite_or_null(F.col(f"`{c}`")),)
+            for e in (F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"))
         ]
     ).first()
     return Scaler(

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from permeon.functions.cleaning import not_nan
 from permeon.operators.projection import is_missing, keep_threshold
 
 
@@ -21,6 +23,10 @@ def drop_sparse_rows(df: DataFrame, cols: Sequence[str], share: float = 0.5) ->
     return df.filter(filled >= keep_threshold(len(cols), share))
 
 
+def _not_nan(df: DataFrame, col: str) -> Column:
+    return not_nan(col) if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)) else F.lit(True)
+
+
 def filter_range(
     df: DataFrame,
     col: str,
@@ -30,14 +36,15 @@ def filter_range(
     hi_inclusive: bool = True,
     keep_null: bool = False,
 ) -> DataFrame:
-    """Range filter with either kind of bound; NULL goes unless ``keep_null``."""
+    """Range filter with either kind of bound; NULL goes unless ``keep_null``, and NaN counts as NULL."""
+    missing = F.col(col).isNull() | ~_not_nan(df, col)
     c = F.col(col)
-    keep: Column = c.isNotNull()
+    keep: Column = ~missing
     if lo is not None:
         keep &= (c >= lo) if lo_inclusive else (c > lo)
     if hi is not None:
         keep &= (c <= hi) if hi_inclusive else (c < hi)
-    return df.filter(keep | c.isNull() if keep_null else keep)
+    return df.filter(keep | missing if keep_null else keep)
 
 
 def facet_filter(
@@ -71,7 +78,7 @@ def property_search(
     if prediction:
         df = df.filter(F.col(prediction[0]) == prediction[1])
     if min_confidence:
-        df = df.filter(F.col(min_confidence[0]) >= min_confidence[1])
+        df = filter_range(df, min_confidence[0], lo=min_confidence[1])
     return df
 
 

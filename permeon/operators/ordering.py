@@ -2,11 +2,11 @@
 
 ``Window.orderBy`` with no partition sends every row to one task, and a
 partition key that holds a third of the table does nearly the same. Here the order (of the
-whole table, or of a hot group) is first cut into buckets by a pure function of the sort key: quantile
-bounds, with a bucket of its own for any value that repeats across bounds, so
-ties can be cut further by the next sort key. A small table of bucket totals
-then turns bucket-local running sums into global ones. The bounds only decide
-balance; the result never depends on them.
+whole table, or of a hot group) is first cut into buckets by bounds that are rows of
+the whole sort key, each value in its own type: any number of keys of any type that
+Spark can order, ties included. A small table of bucket totals then turns bucket-local
+running sums into global ones. The bounds come from a sample and only decide balance;
+the result never depends on them.
 """
 
 from __future__ import annotations
@@ -14,119 +14,116 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from permeon.functions.draws import DRAW_BITS
 from permeon.session import bucket_count
 
-_INF = float("inf")
 MIN_HOT_ROWS = 100_000
+#: Sampled rows for each bucket that is cut.
+ROWS_PER_CUT = 32
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Sorted inner bounds of one sort key, and those bounds that repeat.
+    """Where an order is cut: distinct rows of its keys, in that order.
 
-    A ``step`` instead of bounds stands for equal widths from zero up.
+    A ``step`` instead of bounds stands for equal widths of a draw from zero up.
     """
 
-    bounds: tuple[float, ...] = ()
-    heavy: tuple[float, ...] = ()
+    bounds: tuple[tuple, ...] = ()
     step: int = 0
 
 
-def _is_cuttable(df: DataFrame, name: str) -> bool:
-    kinds = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
-    return isinstance(df.schema[name].dataType, kinds)
+def _directions(order: Sequence[str], ascending: Sequence[bool] | bool) -> list[bool]:
+    return [ascending] * len(order) if isinstance(ascending, bool) else list(ascending)
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name)
-    if isinstance(kind, T.BooleanType):
-        return F.col(name).cast("int")
-    raise TypeError(f"order by a number, date or draw; {name} is {kind.simpleString()}")
+def sort_columns(order: Sequence[str], ascending: Sequence[bool] | bool = True) -> list[Column]:
+    """The order as Spark sort columns; missing keys come last in both directions."""
+    ups = _directions(order, ascending)
+    return [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(order, ups)]
 
 
-def quantile_cuts(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> list[Cuts]:
-    """Bounds for each sort key from one mergeable-sketch pass (``pieces`` numbers per key).
-
-    The first key must be a number, date or draw. Later ones may be texts, which
-    sort as usual but are not cut.
-    """
+def quantile_cuts(
+    df: DataFrame, order: Sequence[str], ascending: Sequence[bool] | bool = True, pieces: int | None = None
+) -> Cuts:
+    """About evenly spread bounds of the order, from a sample of ROWS_PER_CUT rows for each piece."""
     pieces = pieces or bucket_count(df.sparkSession)
-    grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuttable = {c: _numeric(df, c) for i, c in enumerate(order) if i == 0 or _is_cuttable(df, c)}
-    row = df.agg(
-        *[F.percentile_approx(v, grid, 4 * pieces).alias(f"q{i}") for i, v in enumerate(cuttable.values())]
-    ).first()
-    cuts = {}
-    for i, c in enumerate(cuttable):
-        found = [v for v in (row[f"q{i}"] or []) if v == v and abs(v) != _INF]
-        repeats = sorted({a for a, b in zip(found, found[1:]) if a == b})
-        cuts[c] = Cuts(tuple(sorted(set(found))), tuple(repeats))
-    return [cuts.get(c, Cuts()) for c in order]
-
-
-def uniform_cuts(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> list[Cuts]:
+    keys = df.select(*order)
+    rows = keys.count()
+    if rows < 2:
+        return Cuts()
+    share = min(1.0, ROWS_PER_CUT * pieces / rows)
+    sample = keys if share == 1.0 else keys.sample(share, seed=17)
+    found = [tuple(r) for r in sample.orderBy(*sort_columns(order, ascending)).collect()]
+    every = max(1, len(found) // pieces)
+    return Cuts(tuple(dict.fromkeys(found[every::every])))
+
+
+def uniform_cuts(df: DataFrame, pieces: int | None = None) -> Cuts:
     """Bounds for a draw: known to be uniform, so no pass over the data is needed."""
     pieces = pieces or bucket_count(df.sparkSession)
-    return [Cuts(step=2**DRAW_BITS // pieces)]
+    return Cuts(step=2**DRAW_BITS // pieces)
 
 
-def with_order_bucket(
-    df: DataFrame, order: Sequence[str], ascending: Sequence[bool], cuts: Sequence[Cuts], name: str
-) -> DataFrame:
-    """Add an integer that grows with the sort key; rows of one bucket are neighbours."""
-    code: Column = F.lit(0).cast("bigint")
-    width = 1
-    out = df
-    temps = []
-    for i in reversed(range(min(len(order), len(cuts), 3))):
-        c, cut = order[i], cuts[i]
-        if cut.step:
-            heavy = F.lit(False)
-            slots = 2 ** DRAW_BITS // cut.step + 1
-            place = F.call_function("div", F.col(c), F.lit(cut.step))
-        elif cut.bounds:
-            raw, slot = f"__num{i}", f"__slot{i}"
-            temps += [raw, slot]
-            out = out.withColumn(raw, _numeric(df, c).cast("double"))
-            splits = [-_INF, *cut.bounds, _INF]
-            out = Bucketizer(splits=splits, inputCol=raw, outputCol=slot, handleInvalid="keep").transform(out)
-            heavy = _numeric(df, c).isin(list(cut.heavy)) if cut.heavy else F.lit(False)
-            heavy = F.coalesce(heavy, F.lit(False))
-            slots = 2 * (len(splits) + 1)
-            place = F.col(slot).cast("bigint") * 2 + F.when(heavy, 0).otherwise(1)
-        else:
-            continue
-        if not ascending[i]:
-            place = F.lit(slots - 1) - place
-        # Non-nullable by form, so that the join adds no filter that would repeat the work.
-        place = F.when(F.col(c).isNull(), F.lit(slots)).otherwise(F.coalesce(place, F.lit(slots)))
-        code = place * width + F.when(heavy, code).otherwise(0)
-        width *= slots + 1
-    return out.withColumn(name, code).drop(*temps)
+def _bound_upto_row(bound: Sequence[Column], row: Sequence[Column], ascending: Sequence[bool]) -> Column:
+    """Whether a bound is at or before a row in the order."""
+    upto = F.lit(True)
+    for b, x, up in reversed(list(zip(bound, row, ascending))):
+        before = F.when(b.isNull(), False).when(x.isNull(), True).otherwise((b < x) if up else (b > x))
+        upto = before | (b.eqNullSafe(x) & upto)
+    return upto
+
+
+def with_order_bucket(df: DataFrame, order: Sequence[str], ascending: Sequence[bool], cuts: Cuts, name: str) -> DataFrame:
+    """Add an integer that grows with the order; rows of one bucket are neighbours.
+
+    With bounds it is the number of bounds at or before the row, found by bisection.
+    """
+    if cuts.step:
+        place = F.call_function("div", F.col(order[0]), F.lit(cuts.step))
+        last = 2**DRAW_BITS // cuts.step + 1
+        place = place if ascending[0] else F.lit(last) - place
+        return df.withColumn(name, F.coalesce(place, F.lit(last + 1)))
+    if not cuts.bounds:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    arrays = [
+        F.array(*[F.lit(b[i]) for b in cuts.bounds]).cast(f"array<{df.schema[c].dataType.simpleString()}>")
+        for i, c in enumerate(order)
+    ]
+    row = [F.col(c) for c in order]
+    steps = [1 << k for k in reversed(range(len(cuts.bounds).bit_length()))]
+
+    def advance(at: Column, step: Column) -> Column:
+        inside = at + step <= len(cuts.bounds)
+        bound = [F.get(a, at + step - 1) for a in arrays]
+        return F.when(inside & _bound_upto_row(bound, row, ascending), at + step).otherwise(at)
+
+    place = F.aggregate(F.array(*[F.lit(s).cast("bigint") for s in steps]), F.lit(0).cast("bigint"), advance)
+    return df.withColumn(name, F.coalesce(place, F.lit(0).cast("bigint")))
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> list[Row]:
+def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Keys of the groups too large for one task.
 
     The default limit is a quarter of an even task's share, so that at most four
-    keys per shuffle partition can be over it and the list stays small.
+    keys per shuffle partition can be over it.
     """
     if hot_rows is None:
         hot_rows = max(MIN_HOT_ROWS, df.count() // (4 * bucket_count(df.sparkSession)))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.filter(F.col("__n") > hot_rows).select(*by).collect()
+    return sizes.filter(F.col("__n") > hot_rows).select(*by)
+
+
+def _hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int | None) -> DataFrame | None:
+    """Hot groups as a table to join with: fixed and broadcast if few, else as it is; None if there are none."""
+    hot, few = hot_groups(df, by, hot_rows), 4 * bucket_count(df.sparkSession)
+    rows = hot.limit(few + 1).collect()
+    if not rows:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)) if len(rows) <= few else hot
 
 
 def running_totals(
@@ -135,7 +132,7 @@ def running_totals(
     measures: Mapping[str, Column],
     by: Sequence[str] = (),
     ascending: Sequence[bool] | bool = True,
-    cuts: Sequence[Cuts] | None = None,
+    cuts: Cuts | None = None,
     totals: Mapping[str, str] | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
@@ -149,33 +146,28 @@ def running_totals(
     ``hot_rows`` are cut into buckets; with ``cuts`` every group is.
     """
     order = [order] if isinstance(order, str) else list(order)
-    ascending = [ascending] * len(order) if isinstance(ascending, bool) else list(ascending)
+    ascending = _directions(order, ascending)
     totals = dict(totals or {})
-    _numeric(df, order[0])
 
     # A struct compares NULL members as equal and is never NULL itself, so joins
     # on it stay plain equi-joins on the window's own partitioning.
     grouped = df.withColumn("__group", F.struct(*[F.col(c) for c in by]) if by else F.lit(0))
     if not by or cuts is not None:
-        cuts = quantile_cuts(df, order) if cuts is None else cuts
+        cuts = quantile_cuts(df, order, ascending) if cuts is None else cuts
         coded = with_order_bucket(grouped, order, ascending, cuts, "__bucket")
         cut_rows = coded
     else:
-        hot = hot_groups(df, by, hot_rows)
-        if hot:
-            keys = df.sparkSession.createDataFrame(hot, df.select(*by).schema)
-            keys = keys.select(F.struct(*by).alias("__group"), F.lit(True).alias("__hot"))
-            flagged = grouped.join(F.broadcast(keys), "__group", "left")  # at most a few keys per partition
-            cuts = quantile_cuts(flagged.filter("__hot"), order)
+        hot = _hot_keys(df, by, hot_rows)
+        if hot is not None:
+            flagged = grouped.join(hot.select(F.struct(*by).alias("__group"), F.lit(True).alias("__hot")), "__group", "left")
+            cuts = quantile_cuts(flagged.filter("__hot"), order, ascending)
             coded = with_order_bucket(flagged, order, ascending, cuts, "__bucket")
             coded = coded.withColumn("__bucket", F.when(F.col("__hot"), F.col("__bucket")).otherwise(F.lit(-1)))
             cut_rows = coded.filter("__hot")
         else:
             coded, cut_rows = grouped.withColumn("__bucket", F.lit(-1)), None
 
-    sort = [
-        F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in zip(order, ascending)
-    ]
+    sort = sort_columns(order, ascending)
     names = list(measures)
     bucket = Window.partitionBy("__group", "__bucket")
     upto = bucket.orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
@@ -215,7 +207,7 @@ def ranked(
     name: str = "row_pos",
     start: int = 0,
     ascending: Sequence[bool] | bool = True,
-    cuts: Sequence[Cuts] | None = None,
+    cuts: Cuts | None = None,
     total: str | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
@@ -231,4 +223,4 @@ def ranked_by_draw(
 ) -> DataFrame:
     """:func:`ranked` on a draw column, whose even spread spares the bounds pass."""
     order = [draw_col, *ties]
-    return ranked(df, order, by, name, cuts=uniform_cuts(df, order), total=total)
+    return ranked(df, order, by, name, cuts=uniform_cuts(df), total=total)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permeon.functions.draws import draw, unit_draw
-from permeon.operators.dedup import TOP_K_IN_ONE_TASK
 from permeon.operators.neighbors import nearest_neighbors
 from permeon.operators.ordering import ranked, ranked_by_draw
 
@@ -25,11 +24,9 @@ def _drawn(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` rows, or all if there are fewer; the same ones on every run."""
-    drawn = _drawn(df, key, seed)
-    if n <= TOP_K_IN_ONE_TASK:
-        return drawn.orderBy("__draw", key).limit(n).drop("__draw")
-    return ranked_by_draw(drawn, "__draw", key, name="__pos").filter(F.col("__pos") < n).drop("__draw", "__pos")
+    """``n`` rows, or all if there are fewer, in the order of their draws; the same ones on every run."""
+    placed = ranked_by_draw(_drawn(df, key, seed), "__draw", key, name="__pos").filter(F.col("__pos") < n)
+    return placed.orderBy("__pos").drop("__draw", "__pos")
 
 
 def _held_out(total: Column, share: float) -> Column:

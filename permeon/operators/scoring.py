@@ -43,7 +43,11 @@ def _folded(share: Column) -> Column:
 
 
 def ensemble_mean(scores: DataFrame, key: str) -> DataFrame:
-    """Probability mean: positive above 0.5; uncertainty is the largest class deviation."""
+    """Probability mean: positive above 0.5; uncertainty is the largest class deviation.
+
+    A model without a probability takes no part, its vote included.
+    """
+    scores = scores.filter(F.col("p1").isNotNull())
     p1 = F.avg("p1")
     # Rounded for the comparison: a mean of exactly one half must not tip over by summation order.
     return scores.groupBy(key).agg(

@@ -68,6 +68,10 @@ def prediction_record(
     return [k.alias("key"), n.alias("name"), encode_label(prediction).alias("prediction")]
 
 
+#: Rows that one write task takes.
+ROWS_PER_TASK = 1_000_000
+
+
 class ResultStore:
     """Parquet folder whose rows are unique on ``key``.
 
@@ -86,7 +90,9 @@ class ResultStore:
         schema = T.StructType([*self.schema.fields, T.StructField(self.BUCKET, T.IntegerType())])
         try:
             return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
@@ -97,13 +103,18 @@ class ResultStore:
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         first = dedup_first(batch, [self.key], order).withColumn(self.BUCKET, bucket).persist()
         try:
-            touched = [r[0] for r in first.select(self.BUCKET).distinct().collect()]
+            sizes = first.groupBy(self.BUCKET).count().collect()
+            touched, rows = [r[0] for r in sizes], sum(r[1] for r in sizes)
             known = self._stored().filter(F.col(self.BUCKET).isin(touched)).select(
                 F.col(self.key).alias("__key"), F.col(self.BUCKET).alias("__bucket")
             )
             same = (first[self.BUCKET] == F.col("__bucket")) & first[self.key].eqNullSafe(F.col("__key"))
             fresh = first.join(known, same, "left_anti")
             aligned = align_to(fresh, T.StructType([*self.schema.fields, T.StructField(self.BUCKET, T.IntegerType())]))
-            aligned.repartition(self.BUCKET).write.mode("append").partitionBy(self.BUCKET).parquet(self.path)
+            # Each bucket goes to as many tasks as its share of the batch needs, by key, so no task gets a whole hot bucket.
+            salts = max(1, -(-rows // (ROWS_PER_TASK * max(1, len(touched)))))
+            salt = F.pmod(F.xxhash64(F.lit("salt"), self.key), F.lit(salts))
+            spread = aligned.repartition(len(touched) * salts, self.BUCKET, salt) if touched else aligned
+            spread.write.mode("append").partitionBy(self.BUCKET).parquet(self.path)
         finally:
             first.unpersist()

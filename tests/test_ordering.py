@@ -5,11 +5,14 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from permeon.functions.draws import draw, unit_draw
-from permeon.operators.ordering import hot_groups, quantile_cuts, ranked, ranked_by_draw, running_totals
+from permeon.operators.dedup import top_k
+from permeon.operators.ordering import hot_groups, quantile_cuts, ranked, ranked_by_draw, running_totals, with_order_bucket
 from permeon.operators.quantiles import exact_quantiles
+from permeon.operators.sampling import sample_n
 
 
 def skewed(n=4000, seed=1):
@@ -32,10 +35,12 @@ def test_ranks_with_ties_and_hot_groups(spark, up, hot_rows):
     assert (got.groupby("g")["pos"].count() == got.groupby("g")["n"].first()).all()
 
 
-def test_heavy_values_get_their_own_bucket(spark):
+def test_heavy_values_are_cut_by_the_next_key(spark):
     df = spark.createDataFrame(skewed())
     cuts = quantile_cuts(df, ["v", "id"], pieces=32)
-    assert cuts[0].heavy == (5.0,)
+    assert len(cuts.bounds) > 20 and sum(b[0] == 5.0 for b in cuts.bounds) > 5
+    coded = with_order_bucket(df, ["v", "id"], [True, True], cuts, "b")
+    assert coded.groupBy("b").count().agg(F.max("count")).first()[0] < 600
 
 
 def test_missing_keys_come_last(spark):
@@ -54,7 +59,7 @@ def test_null_groups_are_kept(spark, hot_rows):
 
 def test_only_hot_groups_are_cut(spark):
     df = spark.createDataFrame(skewed())
-    assert [r["g"] for r in hot_groups(df, ["g"], 300)] == ["hot"] and hot_groups(df, ["g"]) == []
+    assert [r["g"] for r in hot_groups(df, ["g"], 300).collect()] == ["hot"] and hot_groups(df, ["g"]).isEmpty()
 
 
 def test_running_totals(spark):
@@ -64,9 +69,45 @@ def test_running_totals(spark):
     assert (got["upto"] == (got["id"] % 10).cumsum()).all() and (got["all"] == 4500).all()
 
 
-def test_order_needs_numbers(spark):
-    with pytest.raises(TypeError):
-        ranked(spark.createDataFrame([("a",)], "s string"), "s")
+KEYS = {
+    "big": "CAST(1152921504606846976 + id AS bigint)",
+    "price": "CAST(pmod(id * 7919, 1000) AS decimal(20,3)) / 8",
+    "name": "concat('n', pmod(id * 31, 500), '-', id)",
+    "day": "date_add(DATE'2020-01-01', CAST(pmod(id * 13, 300) AS int))",
+    "time": "timestamp_seconds(1600000000 + pmod(id * 17, 900))",
+    "flag": "pmod(id, 2) = 0",
+    "real": "CASE WHEN pmod(id, 50) = 0 THEN double('NaN') WHEN pmod(id, 51) = 0 THEN NULL ELSE pmod(id * 29, 700) / 3 END",
+}
+
+
+@pytest.mark.parametrize("hot_rows", [None, 100])
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("up", [True, False])
+@pytest.mark.parametrize("key", sorted(KEYS))
+def test_keys_of_every_type(spark, key, up, by, hot_rows):
+    if hot_rows and not by:
+        pytest.skip("an ungrouped order is always cut")
+    df = spark.range(3000).selectExpr(f"{KEYS[key]} AS k", "id", "IF(pmod(id, 3) = 0, 'hot', CAST(pmod(id, 40) AS string)) AS g")
+    sort = F.col("k").asc_nulls_last() if up else F.col("k").desc_nulls_last()
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy(*by or [F.lit(0)]).orderBy(sort, "id")) - 1)
+    got = ranked(want, ["k", "id"], by=by, name="pos", ascending=[up, True], hot_rows=hot_rows)
+    assert got.filter("pos <> want").count() == 0 and got.count() == 3000
+
+
+def test_many_tied_keys(spark):
+    df = spark.range(2000).selectExpr("1 AS a", "'x' AS b", "CAST(2 AS decimal(5,2)) AS c", "NULL AS d", "id")
+    order = ["a", "b", "c", "d", "id"]
+    cuts = quantile_cuts(df, order, pieces=16)
+    assert with_order_bucket(df, order, [True] * 5, cuts, "n").select("n").distinct().count() >= 12
+    assert ranked(df, order, name="pos").filter("pos <> id").count() == 0
+
+
+def test_top_k_and_sample_have_one_order(spark):
+    df = spark.createDataFrame([(1, 5.0, "b"), (2, 5.0, None), (3, 5.0, "a"), (4, None, "a"), (5, 7.0, "c")], "id int, v double, t string")
+    for k in (1, 3, 5, 10**6):
+        assert [r["id"] for r in top_k(df, "v", k, ["t"]).collect()] == [5, 3, 1, 2, 4][:k]
+    few, all_rows = ([r["id"] for r in sample_n(df, "id", n).collect()] for n in (3, 10**6))
+    assert few == all_rows[:3] and sorted(all_rows) == [1, 2, 3, 4, 5]
 
 
 def test_text_ties(spark):
