@@ -8,9 +8,10 @@ extreme-value law that the best segments of clean texts follow, which takes the
 text's length into account, and a logistic curve turns the evidence into a
 probability.
 
-Counts cover all learnable labelled texts of the counting part; they live in a
-fixed number of cells, which bounds the model that is broadcast. The curves are
-fitted on at most about CALIBRATION_ROWS rows that the counts have not seen.
+The classifier learns from at most about LABELLED_ROWS labels, drawn by their id's
+hash; that bounds the labels that are broadcast to find their texts, so texts are
+never shuffled. Token counts live in a fixed number of cells, which bounds the
+model. The curves are fitted on rows that the counts have not seen.
 Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text has no segment and scores lowest. Labels
@@ -31,15 +32,16 @@ from pyspark.sql import functions as F
 
 from permeon.llm.common import LOWER, WORD_BYTES, range_hashes, split_words, stored, text_blocks
 
-WORD_CELLS, STEM_CELLS = 1 << 18, 1 << 16
+WORD_CELLS, STEM_CELLS = 1 << 20, 1 << 18
 STEM_BYTES = 5
 #: Pseudo-counts of the priors of words and stems.
 WORD_PRIOR, STEM_PRIOR = 8.0, 30.0
 #: What every token costs, so that chance gains do not add up; bounds of one token's score.
-COST, LEAST, MOST = 0.25, -1.5, 6.0
+COST, LEAST, MOST = 0.25, -1.5, 10.0
 #: One learnable row in so many is kept from the counts, to fit the curves.
 CALIBRATION_PART = 5
-CALIBRATION_ROWS = 20_000
+#: Bound of the classifier's sample of labels.
+LABELLED_ROWS = 40_000
 
 
 def token_cells(data: np.ndarray, offsets: np.ndarray):
@@ -48,11 +50,14 @@ def token_cells(data: np.ndarray, offsets: np.ndarray):
     words = split_words(low, offsets, WORD_BYTES)
     whole = range_hashes(low, words.starts, words.ends)
     stem = range_hashes(low, words.starts, np.minimum(words.ends, words.starts + STEM_BYTES))
-    return words, (whole >> np.uint64(46)).astype(np.int64), (stem >> np.uint64(48)).astype(np.int64)
+    return words, (whole % np.uint64(WORD_CELLS)).astype(np.int64), (stem % np.uint64(STEM_CELLS)).astype(np.int64)
 
 
 class TokenScores(NamedTuple):
-    """Counts by word cell (toxic, clean) and log-odds by stem cell."""
+    """Counts by word cell (toxic, clean) and log-odds by stem cell.
+
+    A call gives the tokens' log-odds; gains are taken at their lower standard deviation.
+    """
 
     toxic: np.ndarray
     clean: np.ndarray
@@ -63,8 +68,10 @@ class TokenScores(NamedTuple):
     def __call__(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
         ratio = math.log(self.n_toxic / self.n_clean)
         share = 1 / (1 + np.exp(-(self.stem[stem] + ratio)))
-        odds = np.log((self.toxic[word] + WORD_PRIOR * share) / (self.clean[word] + WORD_PRIOR * (1 - share))) - ratio
-        return np.clip(odds, LEAST, MOST) - COST
+        toxic, clean = self.toxic[word] + WORD_PRIOR * share, self.clean[word] + WORD_PRIOR * (1 - share)
+        odds = np.log(toxic / clean) - ratio
+        sure = np.maximum(0, odds - np.sqrt(1 / toxic + 1 / clean))
+        return np.clip(np.where(odds > 0, sure, odds), LEAST, MOST)
 
 
 def token_scores(toxic, clean, stem_toxic, stem_clean) -> TokenScores:
@@ -165,16 +172,19 @@ class ToxicityModel(NamedTuple):
 
 
 def _counted(batches):
-    """Per word (kind 0) and stem (kind 1) cell, occurrences in clean and toxic texts."""
+    """Per word (kind 0) and stem (kind 1) cell, the clean and toxic texts that have it."""
     counts = [np.zeros((2, WORD_CELLS), np.int64), np.zeros((2, STEM_CELLS), np.int64)]
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for block in text_blocks(batch.column(0)):
             words, whole, stem = token_cells(block.data, block.offsets)
-            of_class = np.repeat(toxic[block.first : block.last], np.diff(words.first))
+            text = np.repeat(np.arange(block.first, block.last), np.diff(words.first))
             for total, cell in zip(counts, (whole, stem), strict=True):
+                n = total.shape[1]
+                once = np.unique(text * n + cell)
+                of_class = toxic[once // n]
                 for c in (0, 1):
-                    total[c] += np.bincount(cell[of_class == c], minlength=total.shape[1])
+                    total[c] += np.bincount(once[of_class == c] % n, minlength=n)
     for kind, total in enumerate(counts):
         found = np.flatnonzero(total.sum(axis=0))
         if len(found):
@@ -189,17 +199,35 @@ def _segments(tokens: TokenScores, column: pa.Array):
     for block in text_blocks(column):
         words, whole, stem = token_cells(block.data, block.offsets)
         scores = tokens(whole, stem).astype(np.float64)
+        # A word's k-th occurrence in a text gains a k-th of the first, or a word said over and over would do.
+        gains = np.flatnonzero(scores > 0)
+        text = np.searchsorted(words.first, gains, "right")
+        order = np.lexsort((gains, whole[gains], text))
+        head = np.ones(len(order), bool)
+        head[1:] = (np.diff(whole[gains][order]) != 0) | (np.diff(text[order]) != 0)
+        begin = np.flatnonzero(head)
+        scores[gains[order]] /= np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order)))) + 1
+        scores -= COST
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
             yield int(b - a), maximal_segments(scores[a:b]), (words.starts[a:b] - block.offsets[i], words.ends[a:b] - block.offsets[i])
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic (0 or 1) of the documents that have a label."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) -> DataFrame:
+    """text and toxic (0 or 1) of the documents that have one of about ``max_rows`` labels.
+
+    A half of these at most are toxic ones; what they leave goes to the others.
+    """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    return docs.where("text IS NOT NULL").select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    sizes = dict(marks.groupBy("toxic").count().collect())
+    space = 1 << 30
+    toxic = min(sizes.get(1, 0), max_rows // 2)
+    share = {1: min(1.0, toxic / max(1, sizes.get(1, 0))), 0: min(1.0, (max_rows - toxic) / max(1, sizes.get(0, 0)))}
+    limit = F.when(F.col("toxic") == 1, int(share[1] * space)).otherwise(int(share[0] * space))
+    drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit)
+    return docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
-def fit_toxicity(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel | None:
+def fit_toxicity(labelled: DataFrame) -> ToxicityModel | None:
     """A model from rows of text and toxic; None without toxic rows."""
     spark = labelled.sparkSession
     rows = stored(labelled.withColumn("_draw", F.pmod(F.xxhash64("text"), F.lit(1 << 30))), "toxicity-labelled")
@@ -207,7 +235,8 @@ def fit_toxicity(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS)
     sizes = {r[0]: (r[1], r[2]) for r in parts}
     if not sizes.get(False, (0, 0))[1]:
         return None
-    counting = rows.where(F.col("_draw") % CALIBRATION_PART != 0).select("text", "toxic")
+    # Of equal texts one counts, so that copies of a toxic text do not make its every word suspicious.
+    counting = rows.where(F.col("_draw") % CALIBRATION_PART != 0).dropDuplicates(["text", "toxic"]).select("text", "toxic")
     cells = counting.mapInArrow(_counted, "kind int, cell int, clean bigint, toxic bigint").groupBy("kind", "cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     kind, cell = cells.column("kind").to_numpy(), cells.column("cell").to_numpy()
     totals = []
@@ -227,9 +256,7 @@ def fit_toxicity(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS)
                 ["toxic", "n", "segments"],
             )
 
-    share = min(1.0, calibration_rows / max(1, sizes.get(True, (0, 0))[0]))
-    drawn = rows.where((F.col("_draw") % CALIBRATION_PART == 0) & (F.col("_draw") < int(share * (1 << 30))))
-    fitted = drawn.select("text", "toxic").mapInArrow(measured, "toxic int, n bigint, segments array<double>").collect()
+    fitted = rows.where(F.col("_draw") % CALIBRATION_PART == 0).select("text", "toxic").mapInArrow(measured, "toxic int, n bigint, segments array<double>").collect()
     fitted = sorted((r["toxic"], r["n"], sorted(r["segments"])) for r in fitted)
     clean = [(n, s[-1] if s else 0.0) for t, n, s in fitted if not t]
     law = Calibration(*extreme_value_law(np.array([n for n, _ in clean]), np.array([b for _, b in clean])), None)
