@@ -31,64 +31,98 @@ from permeon.llm.common import NOT_BLANK, ragged, range_hashes, text_blocks
 LENGTH = 2048
 END_ID = 1
 #: Distinct pieces of text whose ids are remembered at a time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
+#: Bytes of pieces that are encoded in one string.
+JOIN_BYTES = 1 << 14
 
 
-def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the tokenizer surely starts a new word: document starts, and spaces after a non-blank character.
+def solid_ends(data: np.ndarray) -> np.ndarray:
+    """Flags of the bytes that surely end a non-blank character.
 
-    After a byte beyond ASCII only the two-byte letters C3 80 to C3 BF count, as
-    other characters may be blanks themselves.
+    Beyond ASCII only the two-byte letters C3 80 to C3 BF count, as other characters
+    may be blanks themselves.
     """
+    solid = NOT_BLANK[data] & (data > 0x20) & (data < 0x7F)
+    solid[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
+    return solid
+
+
+def cut_places(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> np.ndarray:
+    """Where the tokenizer surely starts a new word: document starts, and spaces after a non-blank character."""
     cut = np.zeros(len(data) + 1, bool)
-    if len(data) > 1:
-        before = data[:-1]
-        solid = NOT_BLANK[before] & (before > 0x20) & (before < 0x7F)
-        solid[1:] |= (before[1:] >= 0x80) & (before[:-1] == 0xC3)
-        cut[1:-1] = solid & (data[1:] == 0x20)
+    cut[1:-1] = solid[:-1] & (data[1:] == 0x20)
     cut[offsets] = True
-    return np.flatnonzero(cut[:-1]) if len(data) else np.zeros(0, np.int64)
+    return np.flatnonzero(cut[:-1])
 
 
 class Encoder:
-    """Token ids of blocks of texts, with a cache of distinct pieces by hash."""
+    """Token ids of blocks of texts; remembers the ids of distinct pieces by hash."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level token has one character for each byte
+            self.width[i] = len(token)
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        strings = [t.decode("utf-8") for t in texts]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _encode_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and how many each has.
+
+        Pieces that begin with a space and end in a non-blank are encoded joined,
+        as the tokenizer parts them again; the rest one by one.
+        """
+        joined = (data[starts] == 0x20) & solid[ends - 1]
+        ids, sizes = [], np.zeros(len(starts), np.int64)
+        order = np.concatenate((np.flatnonzero(joined), np.flatnonzero(~joined)))
+        n = int(joined.sum())
+        lengths = (ends - starts)[order[:n]]
+        text = data[ragged(starts[order[:n]], lengths)].tobytes()
+        stops = np.cumsum(lengths)
+        parts = np.searchsorted(stops, np.arange(JOIN_BYTES, len(text), JOIN_BYTES))
+        bounds = np.unique(np.concatenate(([0], stops[parts], [len(text)]))).tolist() if n else [0]
+        if n:
+            together = np.concatenate(self._ids([text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]))
+            sizes[order[:n]] = np.diff(np.searchsorted(np.cumsum(self.width[together]), stops, "left") + 1, prepend=0)
+            ids.append(together)
+        alone = [data[a:b].tobytes() for a, b in zip(starts[order[n:]].tolist(), ends[order[n:]].tolist(), strict=True)]
+        for i, own in zip(order[n:].tolist(), self._ids(alone), strict=True):
+            sizes[i] = len(own)
+            ids.append(own)
+        laid = np.concatenate(ids)
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return laid[ragged(begin, sizes)], sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and the documents' offsets in them."""
-        starts = cut_places(data, offsets)
-        if not len(starts):
+        if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        solid = solid_ends(data)
+        starts = cut_places(data, offsets, solid)
         ends = np.append(starts[1:], len(data))
-        hashes = range_hashes(data, starts, ends)
-        found, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.ids) > CACHE_PIECES:
-            self.reset()
-        known = [self.place.get(h) for h in found.tolist()]
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            for i, encoded in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                known[i] = self.place[int(found[i])] = len(self.ids)
-                self.ids.append(np.array(encoded.ids, np.uint32))
-                self.sizes.append(len(encoded.ids))
-        own = [self.ids[k] for k in known]
-        sizes = np.array([len(x) for x in own])
-        begin = np.cumsum(sizes) - sizes
-        pool = np.concatenate(own)
-        per_piece = sizes[which]
-        ids = pool[ragged(begin[which], per_piece)]
-        upto = np.concatenate(([0], np.cumsum(per_piece)))
-        return ids, upto[np.searchsorted(starts, offsets)]
+        found, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_PIECES:
+            self.keys, self.begin, self.size, self.pool = self.keys[:0], self.begin[:0], self.size[:0], self.pool[:0]
+        at = np.searchsorted(self.keys, found)
+        new = np.ones(len(found), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != found[inside]
+        if new.any():
+            ids, sizes = self._encode_pieces(data, starts[first[new]], ends[first[new]], solid)
+            self.begin = np.insert(self.begin, at[new], len(self.pool) + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, at[new], sizes)
+            self.keys = np.insert(self.keys, at[new], found[new])
+            self.pool = np.concatenate((self.pool, ids))
+            at = np.searchsorted(self.keys, found)
+        sizes = self.size[at][which]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return self.pool[ragged(self.begin[at][which], sizes)], upto[np.searchsorted(starts, offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
