@@ -42,14 +42,16 @@ from permeon.llm.suffix_array import suffix_arrays
 
 LENGTH = 50
 GRAM = 16
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Texts of one bucket of pieces, in input bytes; anchors get buckets of as many.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 PIECE_WINDOWS = 64
+#: Bytes whose grams are hashed at a time; a longer text is taken whole.
+SCAN_BYTES = 1 << 18
 HOT_PIECES = 64
 SLOT = 4
 #: Symbols that one call of the suffix sorter takes.
-BATCH_SYMBOLS = 1 << 20
+BATCH_SYMBOLS = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -83,7 +85,7 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 def anchor_runs(texts: pa.Array, length: int) -> Runs:
     """The runs of all texts; places count from the first byte of the column."""
     found, at, row = [], 0, 0
-    for block in text_blocks(texts):
+    for block in text_blocks(texts, SCAN_BYTES):
         windows = np.maximum(np.diff(block.offsets) - length + 1, 0)
         if windows.any():
             least = _sliding_least(_grams(block.data, GRAM), length - GRAM + 1)
