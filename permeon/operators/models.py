@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from permeon.functions.draws import draw
 from permeon.operators.evaluation import leaderboard
 from permeon.operators.features import Scaler
-from permeon.operators.ordering import ranked, ranked_by_draw
+from permeon.operators.ordering import ranked_by_draw
 from permeon.operators.sampling import SEED, stratified_split
 from permeon.operators.scoring import score_models
 
@@ -160,14 +160,14 @@ def tuning_table(model: CrossValidatorModel) -> list[tuple[str, float, float]]:
 
 
 def default_zoo(n_rows: int, n_features: int) -> dict[str, Estimator]:
-    """Untuned model of each family, small enough to screen with."""
+    """Untuned model of each family."""
     return {
-        "LR": logreg(n_rows, max_iter=50),
-        "RF": forest(20, 6),
-        "ET": extra_trees(20, 6),
-        "GBT": boosted(10, max_depth=3),
-        "SVM": svm(20),
-        "MLP": mlp(n_features, (16,), 30),
+        "LR": logreg(n_rows),
+        "RF": forest(),
+        "ET": extra_trees(100, 8),
+        "GBT": boosted(50, max_depth=3),
+        "SVM": svm(),
+        "MLP": mlp(n_features),
     }
 
 
@@ -262,7 +262,8 @@ def permutation_importance(
     draw for this (feature, repeat) has rank i. All shuffles run in one pass.
     """
     part = stratified_split(df, key, label, test=share, seed=seed).filter(F.col("split") == "test")
-    sample = ranked(part.select(key, label, vector_to_array(features).alias("x")), key, name="pos").persist()
+    rows = part.select(key, label, vector_to_array(features).alias("x"), draw(seed, F.lit("place"), key).alias("d"))
+    sample = ranked_by_draw(rows, "d", key, name="pos").drop("d").persist()
     try:
         shuffles = F.array(
             *[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in range(len(names)) for r in range(repeats)]
@@ -271,7 +272,9 @@ def permutation_importance(
             "f", "r", F.element_at("x", F.col("f") + 1).alias("v"), draw(seed, key, "f", "r").alias("d"), key
         )
         drawn = ranked_by_draw(long, "d", key, by=["f", "r"], name="pos").select("f", "r", "pos", "v")
-        shuffled = sample.join(drawn, "pos").select(
+        # The drawn values of a row come together first, so its vector travels once, not once per shuffle.
+        gathered = drawn.groupBy("pos").agg(F.collect_list(F.struct("f", "r", "v")).alias("drawn"))
+        shuffled = sample.join(gathered, "pos").select(label, "x", F.inline("drawn")).select(
             "f", "r", label, F.transform("x", lambda x, i: F.when(i == F.col("f"), F.col("v")).otherwise(x)).alias("x")
         )
         hit = F.avg((F.col("prediction") == F.col(label)).cast("double"))

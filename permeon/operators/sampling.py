@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from permeon.functions.draws import draw, unit_draw
 from permeon.operators.neighbors import nearest_neighbors
-from permeon.operators.ordering import ranked, ranked_by_draw
+from permeon.operators.ordering import ranked_by_draw
 
 SEED = 42
 SMOTE_NEIGHBORS = 5
@@ -99,7 +99,8 @@ def smote(
         near = nearest_neighbors(rows, rows, key, features, k=kk, exclude_self=True).select(
             F.col("query_id").alias("base"), F.col("rank").alias("pick"), F.col("neighbor_id").alias("neighbor")
         )
-        places = ranked(rows.select(F.col(key).alias("base")), "base", name="place")
+        drawn = rows.select(F.col(key).alias("base"), draw(seed, F.lit("place"), key).alias("__draw"))
+        places = ranked_by_draw(drawn, "__draw", "base", name="place").drop("__draw")
         wanted = df.sparkSession.range(biggest - n).select(
             F.col("id").alias("i"),
             (draw(seed, F.lit(f"{cls}-base"), "id") % n).alias("place"),

@@ -44,7 +44,7 @@ def scored_batch_summary(spark, d):
     "ensemble_mean",
     f"""WITH {scores_sql(THREE)}, e AS (SELECT event_id, CASE WHEN round(avg(p1), 12) > 0.5 THEN 'BBB+' ELSE 'BBB-' END AS prediction,
       greatest(avg(p1), 1 - avg(p1)) * 100 AS confidence, stddev_pop(p1) * 100 AS uncertainty,
-      {_fold('avg(pred) * 100')} AS agreement, count(*) AS num_models FROM scores GROUP BY event_id)
+      {_fold('avg(pred) * 100')} AS agreement, count(*) AS num_models FROM scores WHERE p1 IS NOT NULL GROUP BY event_id)
     SELECT event_id, prediction, {_ENSEMBLE_COLUMNS} FROM e""",
 )
 def ensemble_mean(spark, d):
@@ -121,18 +121,20 @@ def predictions_wide(spark, d):
 @query(
     "export_rows",
     f"""WITH {scores_sql(THREE)}, w AS (SELECT event_id,
+      max(pred) FILTER (model = 'LGBM') AS g, max(greatest(p1, 1 - p1)) FILTER (model = 'LGBM' AND p1 IS NOT NULL) AS gp,
       max(pred) FILTER (model = 'KNN') AS k, max(greatest(p1, 1 - p1)) FILTER (model = 'KNN' AND p1 IS NOT NULL) AS kp,
       max(pred) FILTER (model = 'ET') AS e, max(greatest(p1, 1 - p1)) FILTER (model = 'ET' AND p1 IS NOT NULL) AS ep,
-      count(*) FILTER (pred = 1) AS ones, count(*) FILTER (pred = 0) AS zeros FROM scores WHERE model <> 'LGBM' GROUP BY 1)
+      count(*) FILTER (pred = 1) AS ones, count(*) FILTER (pred = 0) AS zeros FROM scores GROUP BY 1)
     SELECT ev.event_id, event_type, value, CASE WHEN k = 1 THEN 'BBB+' ELSE 'BBB-' END AS "KNN_prediction",
       round(kp * 100, 6) AS "KNN_confidence", CASE WHEN e = 1 THEN 'BBB+' ELSE 'BBB-' END AS "ET_prediction",
+      CASE WHEN g = 1 THEN 'BBB+' ELSE 'BBB-' END AS "LGBM_prediction", round(gp * 100, 6) AS "LGBM_confidence",
       round(ep * 100, 6) AS "ET_confidence", CASE WHEN ones >= zeros THEN 'BBB+' ELSE 'BBB-' END AS ensemble_prediction
     FROM events ev JOIN w ON ev.event_id = w.event_id""",
 )
 def export_rows(spark, d):
     info = Tables(spark, d).events.select("event_id", "event_type", "value")
-    out = scoring.export_row(scores(spark, d, ("KNN", "ET")), "event_id", ["KNN", "ET"], info)
-    return rounded(out, 6, "KNN_confidence", "ET_confidence")
+    out = scoring.export_row(scores(spark, d, THREE), "event_id", list(THREE), info)
+    return rounded(out, 6, *(f"{m}_confidence" for m in THREE))
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from permeon.operators import models, sampling, scoring
 from permeon.operators.evaluation import metrics
 from permeon.operators.features import apply_array_scaler, fingerprint_vector, fit_array_scaler
-from permeon.plans.catalog.registry import Tables, query
+from permeon.operators.knn import KNNClassifier
+from permeon.plans.catalog.registry import Tables, draw_sql, query
 from permeon.plans.training import feature_names, train_and_evaluate
 from permeon.session import scratch_dir
 
@@ -39,23 +40,23 @@ def _fit_scores(spark, d, name, estimator):
 @query("logistic_regression")
 def logistic_regression(spark, d):
     train, test = _frames(spark, d)
-    est = models.logreg(train.count(), C=0.1, max_iter=50)
+    est = models.logreg(train.count(), C=1.0)
     return scoring.score_models(test, "vec_id", {"LR": est.fit(train)}, keep=["label"])
 
 
 @query("random_forest")
 def random_forest(spark, d):
-    return _fit_scores(spark, d, "RF", models.forest(20, 5))
+    return _fit_scores(spark, d, "RF", models.forest(100, 8))
 
 
 @query("extra_trees")
 def extra_trees(spark, d):
-    return _fit_scores(spark, d, "ET", models.extra_trees(20, 5))
+    return _fit_scores(spark, d, "ET", models.extra_trees(100, 8))
 
 
 @query("boosted_trees")
 def boosted_trees(spark, d):
-    return _fit_scores(spark, d, "GBT", models.boosted(8, max_depth=3))
+    return _fit_scores(spark, d, "GBT", models.boosted(50, max_depth=3))
 
 
 @query("support_vectors")
@@ -64,19 +65,19 @@ def support_vectors(spark, d):
     mapped = models.fourier_features(_labelled(spark, d), "embedding", width, 128, gamma=1.0 / width)
     parts = sampling.stratified_split(mapped, "vec_id", "y")
     sides = [models.as_vectors(parts.filter(F.col("split") == s), "embedding", "y", ["vec_id"]) for s in ("train", "test")]
-    return scoring.score_models(sides[1], "vec_id", {"SVM": models.svm(20).fit(sides[0])}, keep=["label"])
+    return scoring.score_models(sides[1], "vec_id", {"SVM": models.svm().fit(sides[0])}, keep=["label"])
 
 
 @query("perceptron")
 def perceptron(spark, d):
     width = len(feature_names(_labelled(spark, d), "embedding"))
-    return _fit_scores(spark, d, "MLP", models.mlp(width, (16,), 30))
+    return _fit_scores(spark, d, "MLP", models.mlp(width))
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    rows = _folds(spark, d, 3)
-    tuned = models.tune(models.forest(10, 4), {"maxDepth": [3, 5], "minInstancesPerNode": [1, 5]}, rows, folds=3)
+    grid = models.GRIDS["RF"] | {"numTrees": [100]}
+    tuned = models.tune(models.forest(), grid, _folds(spark, d, 5), folds=5)
     return spark.createDataFrame(models.tuning_table(tuned), "params string, mean_score double, std_score double")
 
 
@@ -96,13 +97,13 @@ def model_zoo(spark, d):
     train, test = _frames(spark, d)
     width = len(feature_names(_labelled(spark, d), "embedding"))
     zoo = models.default_zoo(train.count(), width)
-    return models.model_zoo({n: zoo[n] for n in ("LR", "RF", "SVM", "MLP")}, train, test, "vec_id")
+    return models.model_zoo(zoo, train, test, "vec_id")
 
 
 @query("save_load_bundle")
 def save_load_bundle(spark, d):
     train, test = _frames(spark, d)
-    fitted = {"LR": models.logreg(train.count(), max_iter=10).fit(train), "RF": models.forest(5, 3).fit(train)}
+    fitted = {"KNN": KNNClassifier(keyCol="vec_id").fit(train), "GBT": models.boosted(20, max_depth=3).fit(train), "ET": models.extra_trees(50, 8).fit(train)}
     path = scratch_dir(spark, "bundle")
     names = feature_names(_labelled(spark, d), "embedding")
     models.save_bundle(spark, models.ModelBundle(fitted, list(names)), path)
@@ -111,14 +112,14 @@ def save_load_bundle(spark, d):
 
 @query("out_of_fold")
 def out_of_fold(spark, d):
-    rows = _folds(spark, d, 3)
-    return models.oof_predict(models.logreg(rows.count(), max_iter=20), rows, "vec_id", folds=3)
+    rows = _folds(spark, d, models.OOF_FOLDS)
+    return models.oof_predict(models.logreg(rows.count()), rows, "vec_id")
 
 
 @query("single_model_scores")
 def single_model_scores(spark, d):
     train, test = _frames(spark, d)
-    fitted = {"RF": models.forest(10, 4).fit(train), "GBT": models.boosted(5, max_depth=3).fit(train)}
+    fitted = {"RF": models.forest().fit(train), "GBT": models.boosted(20, max_depth=3).fit(train)}
     return scoring.labelled_confidence(scoring.score_models(test, "vec_id", fitted, keep=["label"]))
 
 
@@ -140,14 +141,14 @@ def chunked_inference(spark, d):
 def built_in_importance(spark, d):
     train, _ = _frames(spark, d)
     names = feature_names(_labelled(spark, d), "embedding")
-    return models.importances(spark, models.forest(20, 5).fit(train), names, 20)
+    return models.importances(spark, models.forest().fit(train), names, 20)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
     train, _ = _frames(spark, d)
     names = feature_names(_labelled(spark, d), "embedding")
-    fitted = models.logreg(train.count(), max_iter=20).fit(train)
+    fitted = models.logreg(train.count()).fit(train)
     return models.permutation_importance(fitted, train, "vec_id", names, share=0.3, repeats=5)
 
 
@@ -155,9 +156,10 @@ def permutation_importance(spark, d):
 def fingerprint_model(spark, d):
     t = Tables(spark, d)
     rows = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    vectors = fingerprint_vector(rows, "text").drop("text")
-    fitted = models.logreg(vectors.count(), C=0.1, max_iter=10).fit(vectors)
-    scored = scoring.score_models(vectors, "doc_id", {"LR": fitted}, keep=["label"])
+    parts = sampling.stratified_split(fingerprint_vector(rows, "text").drop("text"), "doc_id", "label").persist()
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    fitted = models.logreg(train.count(), C=0.1, max_iter=100).fit(train)
+    scored = scoring.score_models(test, "doc_id", {"LR": fitted}, keep=["label"])
     return metrics(scored.select(F.col("label").cast("int").alias("actual"), "pred"))
 
 
@@ -165,5 +167,49 @@ def fingerprint_model(spark, d):
 def train_evaluate(spark, d):
     y = F.when(F.col("label") >= 7, 1).otherwise(0)
     rows = Tables(spark, d).embeddings.select("vec_id", "embedding", y.alias("y"))
-    zoo = {"LR": models.logreg(rows.count(), C=0.1, max_iter=20), "RF": models.forest(10, 4)}
+    zoo = {"LR": models.logreg(rows.count(), C=0.1), "RF": models.forest()}
     return train_and_evaluate(rows, "vec_id", "embedding", "y", zoo).board
+
+
+_FOLDED = f"""f AS (SELECT vec_id, (label >= 5)::INT AS y, embedding::DOUBLE[] AS x,
+    (row_number() OVER (PARTITION BY label >= 5 ORDER BY {draw_sql(42, 'vec_id')}, vec_id) - 1) % 5 AS fold FROM embeddings)"""
+
+
+def _neighbours_sql(metric: str, k: int) -> str:
+    return f"""n AS (SELECT a.vec_id, a.fold, a.y AS label, b.y, {metric} AS dist,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY {metric}, b.vec_id) AS rank
+      FROM f a JOIN f b ON a.fold <> b.fold QUALIFY rank <= {k})"""
+
+
+@query(
+    "knn_out_of_fold",
+    f"""WITH {_FOLDED}, {_neighbours_sql('list_distance(a.x, b.x)', 5)}
+    SELECT vec_id, fold, label::DOUBLE AS label, (sum(y) * 2 > 5)::INT AS pred, sum(y) / 5 AS p1 FROM n GROUP BY ALL""",
+)
+def knn_out_of_fold(spark, d):
+    scored = models.oof_predict(KNNClassifier(keyCol="vec_id"), _folds(spark, d, 5), "vec_id")
+    return scored.withColumn("fold", F.col("fold").cast("bigint"))
+
+
+_MANHATTAN = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2])))"
+
+
+@query(
+    "knn_grid_search",
+    f"""WITH {_FOLDED}, m AS (SELECT a.vec_id, a.fold, a.y AS label, b.y, b.vec_id AS other, list_distance(a.x, b.x) AS euclidean,
+        {_MANHATTAN} AS manhattan FROM f a JOIN f b ON a.fold <> b.fold),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY euclidean, other) AS re,
+        row_number() OVER (PARTITION BY vec_id ORDER BY manhattan, other) AS rm FROM m),
+    v AS (SELECT 3 AS k, 'euclidean' AS metric, vec_id, fold, label, (sum(y) * 2 > 3)::INT AS pred FROM r WHERE re <= 3 GROUP BY ALL
+      UNION ALL SELECT 5, 'euclidean', vec_id, fold, label, (sum(y) * 2 > 5)::INT FROM r WHERE re <= 5 GROUP BY ALL
+      UNION ALL SELECT 3, 'manhattan', vec_id, fold, label, (sum(y) * 2 > 3)::INT FROM r WHERE rm <= 3 GROUP BY ALL
+      UNION ALL SELECT 5, 'manhattan', vec_id, fold, label, (sum(y) * 2 > 5)::INT FROM r WHERE rm <= 5 GROUP BY ALL),
+    a AS (SELECT k, metric, fold, avg((pred = label)::INT) AS acc FROM v GROUP BY ALL)
+    SELECT k::BIGINT AS k, metric, round(avg(acc), 9) AS mean_score FROM a GROUP BY ALL""",
+)
+def knn_grid_search(spark, d):
+    grid = {"k": [3, 5], "metric": ["euclidean", "manhattan"]}
+    tuned = models.tune(KNNClassifier(keyCol="vec_id"), grid, _folds(spark, d, 5), folds=5)
+    settings = [{p.name: v for p, v in m.items()} for m in tuned.getEstimatorParamMaps()]
+    rows = [(s["k"], s["metric"], round(float(a), 9)) for s, a in zip(settings, tuned.avgMetrics)]
+    return spark.createDataFrame(rows, "k bigint, metric string, mean_score double")

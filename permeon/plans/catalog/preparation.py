@@ -190,7 +190,7 @@ def _binary(spark, d):
 
 @query(
     "smote",
-    f"""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) - 1 AS place
+    f"""WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY {draw_sql(42, "'place'", 'vec_id')}, vec_id) - 1 AS place
       FROM embeddings WHERE label >= 7),
     c AS (SELECT (SELECT count(*) FROM m) AS n, (SELECT count(*) FROM embeddings WHERE label < 7) AS big),
     near AS (SELECT a.vec_id AS base, b.vec_id AS neighbor, row_number() OVER (
@@ -200,17 +200,14 @@ def _binary(spark, d):
         ({draw_sql(42, "'1-u'", 'i')})::DOUBLE / 1152921504606846976::DOUBLE AS u
       FROM c, (SELECT unnest(range((SELECT big - n FROM c))) AS i))
     SELECT 1 AS y, w.i, near.base, near.neighbor, round(u, 9) AS u,
-      round(a.x[1] + u * (b.x[1] - a.x[1]), 6) AS x1, round(a.x[64] + u * (b.x[64] - a.x[64]), 6) AS x64
-    FROM w JOIN m a ON a.place = w.place JOIN near ON near.base = a.vec_id AND near.pick = w.pick
+      e.dim, round(a.x[e.dim] + u * (b.x[e.dim] - a.x[e.dim]), 6) AS x
+    FROM (SELECT unnest(range(1, 65)) AS dim) e, w JOIN m a ON a.place = w.place JOIN near ON near.base = a.vec_id AND near.pick = w.pick
     JOIN m b ON b.vec_id = near.neighbor""",
 )
 def smote(spark, d):
     made = sampling.smote(_binary(spark, d), "vec_id", "embedding", "y")
-    x = F.col("embedding")
-    return made.select(
-        "y", "i", "base", "neighbor", F.round("u", 9).alias("u"),
-        F.round(F.element_at(x, 1), 6).alias("x1"), F.round(F.element_at(x, -1), 6).alias("x64"),
-    )
+    made = made.select("y", "i", "base", "neighbor", F.round("u", 9).alias("u"), F.posexplode("embedding").alias("dim", "x"))
+    return made.withColumns({"dim": (F.col("dim") + 1).cast("bigint"), "x": F.round("x", 6)})
 
 
 @query(

@@ -15,6 +15,7 @@ from permeon.plans.catalog.inputs import (
     sparse_events,
     sparse_items,
 )
+from permeon.operators.ordering import ranked
 from permeon.plans.catalog.registry import Tables, draw_sql, nullable, query
 from permeon.session import scratch_dir
 from permeon.sources.columns import as_batch_input
@@ -515,3 +516,35 @@ def top_k_query(spark, d):
 def best_row(spark, d):
     board = Tables(spark, d).orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("avg_price"))
     return dedup.best_by(board, "avg_price", "o_orderpriority")
+
+
+# ---- positions by keys of other types -----------------------------------------------------
+
+
+@query(
+    "rank_by_text",
+    "SELECT p_partkey, row_number() OVER (ORDER BY p_name DESC NULLS LAST, p_partkey) - 1 AS pos FROM part",
+)
+def rank_by_text(spark, d):
+    return ranked(Tables(spark, d).part.select("p_partkey", "p_name"), ["p_name", "p_partkey"], name="pos", ascending=[False, True]).drop("p_name")
+
+
+@query(
+    "rank_by_decimal",
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag
+      ORDER BY l_extendedprice::DECIMAL(15, 2), l_orderkey, l_linenumber) - 1 AS pos FROM lineitem""",
+)
+def rank_by_decimal(spark, d):
+    price = F.col("l_extendedprice").cast("decimal(15,2)").alias("price")
+    rows = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", price)
+    placed = ranked(rows, ["price", "l_orderkey", "l_linenumber"], by=["l_returnflag"], name="pos", hot_rows=1000)
+    return placed.select("l_orderkey", "l_linenumber", "pos")
+
+
+@query(
+    "rank_by_large_id",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders",
+)
+def rank_by_large_id(spark, d):
+    key = (F.lit(1 << 60) + F.col("o_orderkey")).alias("big")
+    return ranked(Tables(spark, d).orders.select("o_orderkey", key), "big", name="pos").drop("big")

@@ -105,3 +105,30 @@ def test_training_run(rows):
     run = train_and_evaluate(rows, "id", "x", "y", {"LR": models.logreg(400, max_iter=20), "RF": models.forest(10, 3)})
     board = run.board.collect()
     assert {r["model"] for r in board} == {"LR", "RF"} and board[0]["f1"] >= board[1]["f1"] and board[0]["roc_auc"] > 0.85
+
+
+def test_neighbours_as_an_estimator(spark, tmp_path):
+    """Fitted, tuned, saved and loaded like any model, and voted with others."""
+    from pyspark.ml.functions import array_to_vector
+
+    from permeon.operators.knn import KNNClassifier
+
+    rows = spark.range(120).select(
+        F.concat(F.lit("r"), "id").alias("key"),
+        array_to_vector(F.array((F.col("id") % 10).cast("double"), (F.col("id") % 7).cast("double"))).alias("features"),
+        (F.col("id") % 10 >= 5).cast("double").alias("label"),
+        (F.col("id") % 3).cast("int").alias("fold"),
+    )
+    train, test = rows.filter("fold > 0"), rows.filter("fold = 0")
+    fitted = KNNClassifier(k=3, weights="distance", keyCol="key").fit(train)
+    others = {"KNN": fitted, "GBT": models.boosted(5, max_depth=3).fit(train), "ET": models.extra_trees(10, 4).fit(train)}
+    path = str(tmp_path / "bundle")
+    models.save_bundle(spark, models.ModelBundle(others, ["a", "b"]), path)
+    loaded = models.load_bundle(spark, path)
+    assert loaded.errors == {}
+    before, after = (scoring.score_models(test, "key", m, keep=["label"]).orderBy("key", "model").collect() for m in (others, loaded.models))
+    assert before == after and len(after) == 3 * test.count()
+    knn = [r for r in after if r["model"] == "KNN"]
+    assert sum(r["pred"] == r["label"] for r in knn) == len(knn)
+    tuned = models.tune(KNNClassifier(keyCol="key"), {"k": [1, 3]}, rows, folds=3)
+    assert len(models.tuning_table(tuned)) == 2

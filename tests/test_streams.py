@@ -85,3 +85,23 @@ def test_spread(spark):
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 8
     full = spark.range(100).repartition(9)
     assert spread(full) is full
+
+
+def test_forgotten_keys_come_again(spark, tmp_path):
+    """With a watermark a key is forgotten after the delay, and then counts as new."""
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ck"))
+
+    def go():
+        source = stream_files(spark, src, EVENTS)
+        run_to_end(stream_append(source, lambda s: stream_dedup(s.select("key", "v", "ts"), "key", "ts", "2 hours"), out, ckpt))
+        return sorted((r["key"], r["v"]) for r in spark.read.parquet(out).collect())
+
+    arrive(spark, src, [("a", 1), ("b", 1), ("a", 2)])
+    first = go()
+    assert [k for k, _ in first] == ["a", "b"]
+    arrive(spark, src, [("a", 3)])
+    assert go() == first
+    arrive(spark, src, [("c", 30)])  # moves the watermark past the delay of all before
+    go()
+    arrive(spark, src, [("a", 31), ("c", 31)])
+    assert sorted(k for k, _ in go()) == ["a", "a", "b", "c"]
