@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from permeon.llm.common import LOWER, mix, text_blocks
 
@@ -210,7 +211,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, keep: list[s
     """The ``keep`` columns of every row with lang_pred and score (0 to 1)."""
     rows = docs.select(F.col("text").alias("_text"), *keep)
     fields = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):

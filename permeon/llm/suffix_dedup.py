@@ -36,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from permeon.llm.common import mix, ragged, range_hashes, text_blocks
 from permeon.llm.suffix_array import suffix_arrays
@@ -265,7 +266,7 @@ def _binary(parts) -> pa.Array:
 def _messages(group: int, kind: int, buckets: np.ndarray, **arrays) -> pa.Table:
     """One row per bucket; every array is cut where the (sorted) bucket of its entries changes."""
     names, cuts = np.unique(buckets, return_index=True)
-    ends = np.append(cuts[1:], len(buckets))
+    ends = np.append(cuts, len(buckets))[1:]
     columns = {"kind": pa.array(np.full(len(names), kind), pa.int32()), "bucket": pa.array(names, pa.int64()), "_group": pa.array(np.full(len(names), group), pa.int64())}
     for name, (values, offsets) in arrays.items():
         places = cuts if offsets is None else offsets[cuts]
@@ -427,14 +428,14 @@ def remove_repeats(
     rest = F.struct(*(c for c in docs.columns if c != "text"))
     rows = _prepared(docs, rest.alias("_row"), F.col("text").isNull().alias("_null"))
     by_group, known = _removal(rows, length, group_bytes, bucket_bytes, hot_pieces)
-    kind = rows.schema["_row"].dataType.simpleString()
+    schema = T.StructType([rows.schema["_row"], T.StructField("_kept", T.StringType()), T.StructField("_null", T.BooleanType())])
 
     def rewrite(key, table, known):
         data, offsets, gone = removed_bytes(_column(table, "_text"), _ids(table), known, length)
         kept = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         return pa.table({"_row": _column(table, "_row"), "_kept": pa.array(kept, pa.string()), "_null": _column(table, "_null")})
 
-    out = by_group.cogroup(known).applyInArrow(rewrite, f"_row {kind}, _kept string, _null boolean")
+    out = by_group.cogroup(known).applyInArrow(rewrite, schema)
     text = F.when(~F.col("_null"), F.col("_kept"))
     values = {c: F.col("_row").getField(c) for c in docs.columns if c != "text"} | {"text": text}
     if "n_chars" in docs.columns:

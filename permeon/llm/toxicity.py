@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from permeon.llm.common import LOWER, WORD_BYTES, range_hashes, split_words, stored, text_blocks
 
@@ -277,7 +278,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, keep: list[str]
     fields = rows.schema.fields[1:]
     names = [f.name for f in fields] + ["score", "passages"]
     passage = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, passages array<struct<first: bigint, end: bigint, score: double>>"
+    spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("passages", spans)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
