@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permeon.llm.common import LOWER, WORD_BYTES, Words, mix, range_hashes, split_words, stored, text_blocks, window_hashes
+from permeon.llm.common import LOWER, WORD_BYTES, Words, in_arrow, mix, range_hashes, split_words, stored, text_blocks, window_hashes
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
@@ -88,7 +88,7 @@ def item_shingles(benchmark: DataFrame, window: int = WINDOW_WORDS, shingle: int
                 columns += [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(ks, pa.int32()), pa.array(place, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["item", "window", "words", "h", "k", "place"])
 
-    return rows.mapInArrow(of_batches, "item string, window string, words int, h bigint, k int, place int")
+    return rows.transform(in_arrow, of_batches, "item string, window string, words int, h bigint, k int, place int")
 
 
 def _bitmap(shingles: DataFrame):
@@ -115,7 +115,7 @@ def corpus_counts(docs: DataFrame, shingles: DataFrame) -> DataFrame:
                 value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-    return docs.select("text").mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(in_arrow, counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def candidates(docs: DataFrame, prefixes: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
@@ -151,7 +151,7 @@ def candidates(docs: DataFrame, prefixes: DataFrame, window: int = WINDOW_WORDS)
                 columns = [batch.column(1).take(of_row), batch.column(2).take(of_row), total, pa.array(h, pa.int64()), pa.array(place, pa.int64()), pa.array(start, pa.int64()), pa.array(around, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_words", "h", "place_in_text", "start", "around"])
 
-    return rows.mapInArrow(found, f"doc_id {kind}, key binary, n_words bigint, h bigint, place_in_text bigint, start bigint, around string")
+    return rows.transform(in_arrow, found, f"doc_id {kind}, key binary, n_words bigint, h bigint, place_in_text bigint, start bigint, around string")
 
 
 def window_occurrences(found: DataFrame, prefixes: DataFrame) -> DataFrame:

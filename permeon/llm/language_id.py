@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permeon.llm.common import LOWER, mix, text_blocks
+from permeon.llm.common import LOWER, in_arrow, mix, text_blocks
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -179,7 +179,7 @@ def fit_language_model(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUA
     if not sizes:
         return None
     languages = sorted(sizes)
-    df = known.select("text").mapInArrow(_frequencies, "cell int, df bigint").groupBy("cell").agg(F.sum("df").alias("df")).collect()
+    df = known.select("text").transform(in_arrow, _frequencies, "cell int, df bigint").groupBy("cell").agg(F.sum("df").alias("df")).collect()
     freq = np.zeros(CELLS)
     texts = next(r[1] for r in df if r[0] == -1)
     for r in df:
@@ -191,7 +191,7 @@ def fit_language_model(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUA
     draw = F.pmod(F.xxhash64("text"), F.lit(space))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, int(space * min(1.0, rows_per_language / sizes[k])))))
     drawn = known.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("text", "lang", "draw")
-    sample = drawn.mapInArrow(_sampled, "lang string, draw bigint, cells binary, counts binary").collect()
+    sample = drawn.transform(in_arrow, _sampled, "lang string, draw bigint, cells binary, counts binary").collect()
     rows = []
     for r in sorted(sample, key=lambda r: (hash_order(r["draw"]), r["lang"])):
         cells, counts = np.frombuffer(r["cells"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32)
@@ -226,4 +226,4 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, keep: list[s
             columns = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [f.name for f in fields] + ["lang_pred", "score"])
 
-    return rows.mapInArrow(predict, schema)
+    return rows.transform(in_arrow, predict, schema)

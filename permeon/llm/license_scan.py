@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permeon.llm.common import LOWER, WORD_BYTES, mix, ragged, range_hashes, split_words, stored, text_blocks, window_hashes
+from permeon.llm.common import LOWER, WORD_BYTES, in_arrow, mix, ragged, range_hashes, split_words, stored, text_blocks, window_hashes
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -113,7 +113,7 @@ def _shingles(words: Column) -> Column:
 def template_table(templates: DataFrame) -> DataFrame:
     """license_id, shingles, scale and band keys of every template that has a shingle."""
     rows = templates.select("license_id", "text").where("license_id IS NOT NULL").distinct()
-    found = rows.mapInArrow(_template_bands, "license_id string, template string, scale int, bands array<bigint>")
+    found = rows.transform(in_arrow, _template_bands, "license_id string, template string, scale int, bands array<bigint>")
     return found.select("license_id", _shingles(F.split("template", " ")).alias("shingles"), "scale", "bands")
 
 
@@ -182,7 +182,7 @@ def window_candidates(docs: DataFrame, templates: DataFrame) -> DataFrame:
                 columns = [batch.column(1).take(of_row), batch.column(2).take(of_row), pa.array(scale, pa.int32()), pa.array(first, pa.int64()), pa.array(text, pa.string()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "scale", "first_word", "window", "bands"])
 
-    return rows.mapInArrow(found, f"doc_id {kind}, key binary, scale int, first_word bigint, window string, bands array<bigint>")
+    return rows.transform(in_arrow, found, f"doc_id {kind}, key binary, scale int, first_word bigint, window string, bands array<bigint>")
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from permeon.llm.common import NOT_BLANK, ragged, range_hashes, text_blocks
+from permeon.llm.common import NOT_BLANK, in_arrow, ragged, range_hashes, text_blocks
 
 LENGTH = 2048
 END_ID = 1
 #: Distinct pieces of text whose ids are remembered at a time.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: Bytes of pieces that are encoded in one string.
 JOIN_BYTES = 1 << 14
 
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, wi
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<bigint>" if with_ids else "")
-    cut = rows.mapInArrow(pieces, schema)
+    cut = rows.transform(in_arrow, pieces, schema)
     return cut.withColumns(
         {"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2(F.col("length").cast("double")).cast("int")}
     )

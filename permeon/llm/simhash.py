@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permeon.llm.common import LOWER, mix, stored, text_blocks
+from permeon.llm.common import LOWER, in_arrow, mix, stored, text_blocks
 from permeon.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             values = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), values], ["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(of_batches, f"doc_id {key}, text_hash bigint, fp bigint")
+    return rows.transform(in_arrow, of_batches, f"doc_id {key}, text_hash bigint, fp bigint")
 
 
 def _signatures(members: DataFrame, width: int, wanted=None) -> DataFrame:
@@ -99,7 +99,7 @@ def _signatures(members: DataFrame, width: int, wanted=None) -> DataFrame:
                     found.append((new[at].view(np.int64), fp[at].view(np.int64), (lo + (1 - h) * half)[at].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "fp", "lo"])
 
-    return members.select("key", "fp", "lo").mapInArrow(variants, "key bigint, fp bigint, lo int")
+    return members.select("key", "fp", "lo").transform(in_arrow, variants, "key bigint, fp bigint, lo int")
 
 
 def _cells(keys: DataFrame):
@@ -141,7 +141,7 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
         signed = _signatures(members, width, _cells(sizes.where("n > 2").select("key")))
         several = signed.join(sizes.where(f"n > 2 AND n <= {bound}").select("key"), "key")
         grouped = several.groupBy("key").agg(F.collect_list("fp").alias("fps"))
-        found.append(grouped.select("fps").mapInArrow(_forest, "u bigint, v bigint"))
+        found.append(grouped.select("fps").transform(in_arrow, _forest, "u bigint, v bigint"))
         hot = sizes.where(f"n > {bound}").select("key")
         if hot.isEmpty():
             break

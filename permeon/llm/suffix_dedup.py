@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permeon.llm.common import mix, ragged, range_hashes, text_blocks
+from permeon.llm.common import bound_batches, mix, ragged, range_hashes, text_blocks
 from permeon.llm.suffix_array import suffix_arrays
 
 LENGTH = 50
@@ -283,6 +283,7 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
     """The documents by group, and what each group gets to know, as packed rows."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
+    bound_batches(docs.sparkSession)
     total = _total_bytes(docs)
     groups, buckets = max(32, -(-total // group_bytes)), max(32, -(-total // bucket_bytes))
     deal = F.pmod(F.xxhash64("_id", "_text"), F.lit(groups))

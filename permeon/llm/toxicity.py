@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permeon.llm.common import LOWER, WORD_BYTES, range_hashes, split_words, stored, text_blocks
+from permeon.llm.common import LOWER, WORD_BYTES, in_arrow, range_hashes, split_words, stored, text_blocks
 
 WORD_CELLS, STEM_CELLS = 1 << 20, 1 << 18
 STEM_BYTES = 5
@@ -238,7 +238,7 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel | None:
         return None
     # Of equal texts one counts, so that copies of a toxic text do not make its every word suspicious.
     counting = rows.where(F.col("_draw") % CALIBRATION_PART != 0).dropDuplicates(["text", "toxic"]).select("text", "toxic")
-    cells = counting.mapInArrow(_counted, "kind int, cell int, clean bigint, toxic bigint").groupBy("kind", "cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    cells = counting.transform(in_arrow, _counted, "kind int, cell int, clean bigint, toxic bigint").groupBy("kind", "cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     kind, cell = cells.column("kind").to_numpy(), cells.column("cell").to_numpy()
     totals = []
     for k, size in ((0, WORD_CELLS), (1, STEM_CELLS)):
@@ -257,7 +257,7 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel | None:
                 ["toxic", "n", "segments"],
             )
 
-    fitted = rows.where(F.col("_draw") % CALIBRATION_PART == 0).select("text", "toxic").mapInArrow(measured, "toxic int, n bigint, segments array<double>").collect()
+    fitted = rows.where(F.col("_draw") % CALIBRATION_PART == 0).select("text", "toxic").transform(in_arrow, measured, "toxic int, n bigint, segments array<double>").collect()
     fitted = sorted((r["toxic"], r["n"], sorted(r["segments"])) for r in fitted)
     clean = [(n, s[-1] if s else 0.0) for t, n, s in fitted if not t]
     law = Calibration(*extreme_value_law(np.array([n for n, _ in clean]), np.array([b for _, b in clean])), None)
@@ -297,4 +297,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, keep: list[str]
             columns = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(passages, pa.list_(passage))], names)
 
-    return rows.mapInArrow(scored, schema)
+    return rows.transform(in_arrow, scored, schema)
