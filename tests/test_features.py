@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permeon.functions import cleaning, labels, rounding
+from permeon.functions.draws import draw
 from permeon.operators import distribution, features, sampling
 
 
@@ -112,11 +113,11 @@ def test_splits_are_exact_and_stable(spark):
     assert few == {r["id"] for r in sampling.sample_n(df.repartition(4), "id", 10).collect()} and len(few) == 10
 
 
-def test_large_sample_equals_small_path(spark, monkeypatch):
+def test_samples_of_any_size_are_the_first_draws(spark):
     df = spark.range(500)
-    want = {r["id"] for r in sampling.sample_n(df, "id", 120).collect()}
-    monkeypatch.setattr(sampling, "TOP_K_IN_ONE_TASK", 1)
-    assert {r["id"] for r in sampling.sample_n(df, "id", 120).collect()} == want
+    want = [r["id"] for r in df.orderBy(draw(sampling.SEED, "id"), "id").collect()]
+    for n in (0, 1, 120, 500, 10**6):
+        assert [r["id"] for r in sampling.sample_n(df, "id", n).collect()] == want[:n]
 
 
 def test_histogram_and_ecdf(spark):
