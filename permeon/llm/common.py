@@ -178,6 +178,6 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0] .. starts[0]+sizes[0]-1, starts[1] .. and so on, in one array."""
-    total = int(sizes.sum())
-    begin = np.cumsum(sizes) - sizes
-    return np.arange(total) + np.repeat(starts - begin, sizes)
+    places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    places += np.arange(len(places))
+    return places

@@ -43,9 +43,9 @@ from permeon.llm.suffix_array import suffix_arrays
 
 LENGTH = 50
 GRAM = 16
-GROUP_BYTES = 2 << 20
-#: Texts of one bucket of pieces, in input bytes; anchors get buckets of as many.
-BUCKET_BYTES = 4 << 20
+GROUP_BYTES = 3 << 19
+#: Input bytes for each bucket of anchors or pieces; a bucket's pieces have up to four times as many.
+BUCKET_BYTES = 1 << 20
 PIECE_WINDOWS = 64
 #: Bytes whose grams are hashed at a time; a longer text is taken whole.
 SCAN_BYTES = 1 << 18
