@@ -53,11 +53,6 @@ def clip(c: Column | str, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(hi)), F.lit(lo)))
 
 
-def blank_to_null(c: Column | str) -> Column:
-    trimmed = F.trim(_col(c))
-    return F.when(F.length(trimmed) > 0, trimmed)
-
-
 def first_present(*cols: Column | str) -> Column:
     """The first non-missing value, an empty cell counting as missing."""
     return F.coalesce(*[F.when(F.length(F.trim(_col(c).cast("string"))) > 0, _col(c)) for c in cols])

@@ -29,12 +29,6 @@ PROMPT_TEMPLATES = {
     "Research Papers": "Mention important research findings about {compound} and blood-brain barrier permeability:",
     "Simple Explanation": "Explain in simple terms how {compound} interacts with the blood-brain barrier:",
 }
-QUICK_QUESTIONS = {
-    "Drug Potential": "What is the drug potential of {compound} for CNS disorders? Consider its BBB penetration.",
-    "Properties": "Explain the key molecular properties of {compound} that affect its BBB penetration.",
-    "Side Effects": "What are the potential side effects and safety concerns for {compound}?",
-    "Research": "What current research exists on {compound} for brain-related diseases?",
-}
 
 
 def _col(c: Column | str) -> Column:

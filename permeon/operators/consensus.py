@@ -215,8 +215,3 @@ def pick_text(df: DataFrame, keys: Sequence[str], col: str, out: str = "picked_k
     """The alphabetically first usable text per key."""
     text = F.col(col)
     return df.groupBy(*keys).agg(F.min(F.when((text != "nan") & (text != ""), text)).alias(out))
-
-
-def pick_from_list(values: Column) -> Column:
-    """:func:`pick_id` for an already packed list."""
-    return F.array_min(F.transform(values, lambda x: whole_number(x.cast("string"))))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permeon.functions.cleaning import safe_ratio
 from permeon.functions.labels import NEGATIVE, POSITIVE, decode_label, decode_vote
 
 # Neutral confidence, reliable head, votes needed, preferred model, property rules.
@@ -270,10 +269,3 @@ def rule_screen(df: DataFrame, rules: Mapping[str, tuple[float | None, float | N
     out = df.select("*", *[e.alias(n) for n, e in flags.items()])
     passed = sum((F.when(F.col(n), 1).otherwise(0) for n in flags), F.lit(0))
     return out.withColumn("rules_passed", passed)
-
-
-def agreement_share(scores: DataFrame, key: str) -> DataFrame:
-    """Share of models on the majority side, in percent."""
-    return scores.groupBy(key).agg(
-        _folded(safe_ratio(F.sum("pred"), F.count("pred"))).alias("agreement")
-    )

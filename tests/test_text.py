@@ -36,7 +36,7 @@ def test_links(spark):
 
 
 def test_templates(spark):
-    for template in (*text.PROMPT_TEMPLATES.values(), *text.QUICK_QUESTIONS.values()):
+    for template in text.PROMPT_TEMPLATES.values():
         got = values(spark, lambda c, t=template: text.render(t, {"compound": F.col(c)}), ["X"])
         assert got == [template.format(compound="X")]
 
