@@ -264,14 +264,18 @@ def _binary(parts) -> pa.Array:
 
 
 def _messages(group: int, kind: int, buckets: np.ndarray, **arrays) -> pa.Table:
-    """One row per bucket; every array is cut where the (sorted) bucket of its entries changes."""
+    """One row per bucket; every array is cut where the (sorted) bucket of its entries changes.
+
+    Of an array with offsets the entries' stretches are cut, and compressed.
+    """
     names, cuts = np.unique(buckets, return_index=True)
     ends = np.append(cuts, len(buckets))[1:]
     columns = {"kind": pa.array(np.full(len(names), kind), pa.int32()), "bucket": pa.array(names, pa.int64()), "_group": pa.array(np.full(len(names), group), pa.int64())}
     for name, (values, offsets) in arrays.items():
         places = cuts if offsets is None else offsets[cuts]
         stops = ends if offsets is None else offsets[ends]
-        columns[name] = _binary(values[a:b] for a, b in zip(places, stops, strict=True))
+        parts = (values[a:b].tobytes() for a, b in zip(places.tolist(), stops.tolist(), strict=True))
+        columns[name] = pa.array([p if offsets is None else pa.compress(p, "zstd", asbytes=True) for p in parts], pa.binary())
     return pa.table(columns)
 
 
@@ -328,7 +332,10 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
         def joined(name, kind):
             return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
-        low, least, sizes, data = joined("keys", np.uint32), joined("least", np.int64), joined("sizes", np.uint8).astype(np.int64), joined("text", np.uint8)
+        low, least, sizes = joined("keys", np.uint32), joined("least", np.int64), joined("sizes", np.uint8).astype(np.int64)
+        packed = zip(table.column("text").to_pylist(), table.column("sizes").to_pylist(), strict=True)
+        texts = [pa.decompress(t, int(np.frombuffer(n, np.uint8).sum(dtype=np.int64)), "zstd", asbytes=True) for t, n in packed]
+        data = np.frombuffer(b"".join(texts), np.uint8)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         order, heads = _first_of_equal(low, range_hashes(data, bounds[:-1], bounds[1:]))
         which = np.empty(len(order), np.int64)
