@@ -7,6 +7,7 @@ for all documents of a block in a few passes, without a Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from permeon.session import scratch_dir
 
 #: Bytes of text that one block aims at; a longer document is a block by itself.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 #: Bytes of one Arrow batch; the session's setting is lowered to it.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -52,9 +53,21 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded bytes."""
+    """``df.mapInArrow`` with batches of bounded bytes; the worker gives freed memory back after each task."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Returns the allocator's free pages to the system, where the C library can: workers outlive their tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def ascii_lower(text: Column) -> Column:
