@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permeon.llm.common import LOWER, in_arrow, mix, stored, text_blocks
@@ -102,7 +102,7 @@ def _signatures(members: DataFrame, width: int, wanted=None) -> DataFrame:
     return members.select("key", "fp", "lo").transform(in_arrow, variants, "key bigint, fp bigint, lo int")
 
 
-def _cells(keys: DataFrame):
+def cells(keys: DataFrame):
     """Broadcast bitmap of the keys' cells: 2 ** CELL_BITS bits, however many keys there are."""
     cell = F.expr(f"shiftrightunsigned(key, {64 - CELL_BITS})")
     bits = np.zeros(1 << CELL_BITS, bool)
@@ -138,7 +138,7 @@ def links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
         sizes = stored(sizes.where("n > 1"), "signatures")
         found.append(sizes.where(f"n = 2 AND bit_count(u ^ v) <= {MAX_BITS}").select("u", "v"))
         bound = group if width > 16 else 1 << 62
-        signed = _signatures(members, width, _cells(sizes.where("n > 2").select("key")))
+        signed = _signatures(members, width, cells(sizes.where("n > 2").select("key")))
         several = signed.join(sizes.where(f"n > 2 AND n <= {bound}").select("key"), "key")
         grouped = several.groupBy("key").agg(F.collect_list("fp").alias("fps"))
         found.append(grouped.select("fps").transform(in_arrow, _forest, "u bigint, v bigint"))
@@ -164,16 +164,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "text_hash", hexed.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of every component, with all its columns: that of the least id, then of the least text hash.
+def first_of_each(docs: DataFrame, found: DataFrame, group: Column) -> DataFrame:
+    """One row of every ``group`` of ``found``, with all columns of ``docs``: that of the least id, then of the least text hash.
 
-    Rows equal in both are copies, of which any one stays. Components without an
-    id are told apart by fingerprint.
+    Rows equal in both are copies, of which any one stays.
     """
-    found = near_duplicates(docs, words)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fingerprint")))
     first = found.groupBy(group.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"))
     id_text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     kept = first.select(id_text(F.col("_first.doc_id")).alias("_id"), F.col("_first.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_id": id_text(F.col("doc_id")), "_hash": F.xxhash64("text")})
     return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of every component, as :func:`first_of_each` picks it. Components without an id are told apart by fingerprint."""
+    found = near_duplicates(docs, words)
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fingerprint")))
+    return first_of_each(docs, found, group)
