@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from permeon.operators import models, sampling, scoring
 from permeon.operators.evaluation import metrics
 from permeon.operators.features import apply_array_scaler, fingerprint_vector, fit_array_scaler
-from permeon.operators.knn import KNNClassifier
+from permeon.operators.knn import KNN_GRID, KNNClassifier
 from permeon.plans.catalog.registry import Tables, draw_sql, query
 from permeon.plans.training import feature_names, train_and_evaluate
 from permeon.session import scratch_dir
@@ -74,22 +74,63 @@ def perceptron(spark, d):
     return _fit_scores(spark, d, "MLP", models.mlp(width))
 
 
+#: Folds of the searches.
+SEARCH_FOLDS = 5
+_TUNING = "model string, params string, mean_score double, std_score double"
+
+
+def _tuned_families(n: int) -> dict:
+    """Estimator and whole grid of every family; ``n`` training rows turn C into Spark's regParam."""
+    return {
+        "LR": (models.logreg(n), {"regParam": [1.0 / (c * n) for c in models.GRIDS["LR"]["C"]]}),
+        "RF": (models.forest(), models.GRIDS["RF"]),
+        "ET": (models.extra_trees(), models.GRIDS["ET"]),
+        "GBT": (models.boosted(), models.GRIDS["GBT"]),
+        "KNN": (KNNClassifier(keyCol="vec_id"), KNN_GRID),
+    }
+
+
 @query("grid_search")
 def grid_search(spark, d):
-    grid = models.GRIDS["RF"] | {"numTrees": [100]}
-    tuned = models.tune(models.forest(), grid, _folds(spark, d, 5), folds=5)
-    return spark.createDataFrame(models.tuning_table(tuned), "params string, mean_score double, std_score double")
+    rows, out = _folds(spark, d, SEARCH_FOLDS), []
+    for name, (est, grid) in _tuned_families(rows.count() * (SEARCH_FOLDS - 1) // SEARCH_FOLDS).items():
+        out += [(name, *r) for r in models.tuning_table(models.tune(est, grid, rows, folds=SEARCH_FOLDS))]
+    return spark.createDataFrame(out, _TUNING)
+
+
+#: Trials and ranges of the original searches. Spark's trees end at depth 30 (50 there); they have no least size of
+#: a node to split and no gamma; its share of columns holds for a node, not for a tree. Minkowski distance is Euclidean there.
+SEARCHES = {
+    "RF": (50, {
+        "numTrees": lambda r: 50 * int(r.integers(2, 21)),
+        "maxDepth": lambda r: int(r.integers(5, 31)),
+        "minInstancesPerNode": lambda r: int(r.integers(1, 21)),
+        "featureSubsetStrategy": lambda r: str(r.choice(["sqrt", "log2"])),
+        "impurity": lambda r: str(r.choice(["gini", "entropy"])),
+    }),
+    "KNN": (50, {
+        "k": lambda r: int(r.integers(1, 31)),
+        "weights": lambda r: str(r.choice(["uniform", "distance"])),
+        "metric": lambda r: str(r.choice(["euclidean", "manhattan", "euclidean"])),
+    }),
+    "GBT": (100, {
+        "maxIter": lambda r: int(r.integers(100, 1001)),
+        "maxDepth": lambda r: int(r.integers(3, 21)),
+        "stepSize": lambda r: float(r.uniform(0.01, 0.3)),
+        "subsamplingRate": lambda r: float(r.uniform(0.6, 1.0)),
+        "featureSubsetStrategy": lambda r: str(round(float(r.uniform(0.6, 0.999)), 3)),
+    }),
+}
 
 
 @query("sampled_search")
 def sampled_search(spark, d):
-    space = {
-        "maxDepth": lambda r: int(r.integers(2, 6)),
-        "numTrees": lambda r: int(r.integers(5, 15)),
-        "featureSubsetStrategy": lambda r: str(r.choice(["sqrt", "log2"])),
-    }
-    tuned = models.sampled_search(models.forest(), space, 4, _folds(spark, d, 3), folds=3)
-    return spark.createDataFrame(models.tuning_table(tuned), "params string, mean_score double, std_score double")
+    families = {"RF": models.forest(), "KNN": KNNClassifier(keyCol="vec_id"), "GBT": models.boosted()}
+    rows, out = _folds(spark, d, SEARCH_FOLDS), []
+    for name, (trials, space) in SEARCHES.items():
+        tuned = models.sampled_search(families[name], space, trials, rows, folds=SEARCH_FOLDS)
+        out += [(name, *r) for r in models.tuning_table(tuned)]
+    return spark.createDataFrame(out, _TUNING)
 
 
 @query("model_zoo")
