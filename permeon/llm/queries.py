@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from permeon.llm.common import remainder, table
 from permeon.llm.decontamination import find_contamination, is_contaminated
+from permeon.llm.importance import resample
 from permeon.llm.language_id import fit_language_model, identify_language
 from permeon.llm.license_scan import license_templates, scan_licenses
+from permeon.llm.merkle import build_manifest, lowered_text, verify
 from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
 from permeon.llm.sharding import assign_shards
@@ -136,3 +138,89 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removal_report(table(spark, folder, "documents"))
+
+
+#: crc32 of a list of byte values, as DuckDB has none; the polynomial is a fixed value.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b:
+  list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+_DIGITS_SQL = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+_LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + ")"
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF_SQL.format(text='text')} AS leaf,
+    CASE WHEN {_CRC_SQL.format(bytes=_DIGITS_SQL)} % 3 = 0
+      THEN {_LEAF_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+      ELSE {_LEAF_SQL.format(text='text')} END AS new
+  FROM documents
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM d),
+node AS (
+  SELECT 0 AS level, lang, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 7) // 8) FROM node WHERE n > 1 GROUP BY level, lang, pos // 8
+),
+sub AS (SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM node WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 7) // 8) FROM high WHERE n > 1 GROUP BY level, pos // 8
+),
+root AS (SELECT level AS height, h AS root FROM high WHERE n = 1),
+run AS (
+  SELECT coalesce(lang, '') || (lang IS NULL)::VARCHAR AS tree, level, pos // 8 AS parent, list(h ORDER BY pos) AS hs FROM node WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT '', level, pos // 8, list(h ORDER BY pos) FROM high WHERE n > 1 GROUP BY ALL
+),
+fold AS (
+  SELECT doc_id, leaf, subroot, root, coalesce(p.lang, '') || (p.lang IS NULL)::VARCHAR AS tree, p.pos AS place, sub.pos AS above,
+    sub.height AS low, sub.height + root.height AS total, 0 AS step, new AS h, '' AS proof
+  FROM placed p JOIN sub ON p.lang IS NOT DISTINCT FROM sub.lang, root
+  UNION ALL
+  SELECT doc_id, leaf, subroot, root, f.tree, CASE WHEN step + 1 = low THEN above ELSE place // 8 END, above, low, total, step + 1,
+    sha256(array_to_string(hs[1 : place % 8] || [h] || hs[place % 8 + 2 :], '')), proof || array_to_string(hs[1 : place % 8] || hs[place % 8 + 2 :], '')
+  FROM (SELECT * REPLACE (CASE WHEN step = 0 AND low = 0 THEN above ELSE place END AS place) FROM fold WHERE step < total) f
+  JOIN run ON run.tree = CASE WHEN step < low THEN f.tree ELSE '' END AND run.level = CASE WHEN step < low THEN step ELSE step - low END AND run.parent = f.place // 8
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM fold WHERE step = total
+"""
+
+
+@_query("op12_merkle", OP12_SQL)
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return verify(build_manifest(docs, lowered_text(remainder("doc_id", 3) == 0)))
+
+
+_BYTES_SQL = "list_transform(range(0, strlen(w)), lambda i: ('0x' || hex(w)[2 * i + 1 : 2 * i + 2])::BIGINT)"
+_H_SQL = "(('0x' || sha256('2024:' || doc_id::VARCHAR)[1:8])::BIGINT + 0.5)"
+
+OP13_SQL = f"""
+WITH doc AS ({_words_sql('documents', 'doc_id')}), item AS ({_words_sql('benchmark', 'item_id')}),
+d AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM doc) GROUP BY w),
+b AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM item) GROUP BY w),
+code AS (SELECT w, {_CRC_SQL.format(bytes=_BYTES_SQL)} % 10000 AS bucket FROM (SELECT w FROM d UNION SELECT w FROM b)),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM d JOIN code USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM b JOIN code USING (w) GROUP BY bucket),
+total AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS all_s, coalesce((SELECT sum(t) FROM t), 0) AS all_t),
+gain AS (
+  SELECT w, floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((coalesce(s, 0) + 1) * (all_t + 10000))))::BIGINT AS gain
+  FROM code LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), total
+),
+weighed AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS w FROM doc) JOIN gain USING (w) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln({_H_SQL} / 4294967296)))::BIGINT AS score
+  FROM doc LEFT JOIN weighed USING (doc_id)
+),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@_query("op13_importance_resampling", OP13_SQL)
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
