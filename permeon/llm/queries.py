@@ -15,6 +15,7 @@ from permeon.llm.license_scan import license_templates, scan_licenses
 from permeon.llm.merkle import build_manifest, lowered_text, verify
 from permeon.llm.packing import pack
 from permeon.llm.quality_rules import BASE, judge_quality
+from permeon.llm.relative_lz import remove_duplicate_windows
 from permeon.llm.sharding import assign_shards
 from permeon.llm.simhash import near_duplicates
 from permeon.llm.suffix_dedup import removal_report
@@ -140,6 +141,12 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removal_report(table(spark, folder, "documents"))
 
 
+@_query("op11_substring_dedup")
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_duplicate_windows(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: crc32 of a list of byte values, as DuckDB has none; the polynomial is a fixed value.
 _CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b:
   list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
