@@ -191,9 +191,8 @@ def verify(manifest: Manifest) -> DataFrame:
     """
     leaves = manifest.leaves
     inner = _top_down(manifest.tiers, "path")
-    groups = leaves.select("tree", F.expr(f"pos div {GROUP}").alias("block")).distinct()
-    if inner is None:
-        inner = groups.withColumn("path", F.array().cast(_PATH))
+    if inner is None:  # every language has one leaf
+        inner = stored(leaves.select("tree", F.lit(0).cast("bigint").alias("block"), F.array().cast(_PATH).alias("path")), "path")
     above = inner.join(manifest.subroots, "tree").select("tree", "block", "subroot", F.concat("path", "over").alias("path"))
     root = manifest.root
     key = leaves.schema["doc_id"].dataType.simpleString()
