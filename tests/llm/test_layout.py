@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from permeon.llm import license_scan
-from permeon.llm.packing import END_ID, pack, piece_lengths
+from permeon.llm.packing import END_ID, Encoder, pack, piece_lengths
 from permeon.llm.queries import QUERIES
 from permeon.llm.sharding import assign_shards, schedule
 from tests.llm.helpers import AWKWARD, clashing, documents, prose
@@ -46,6 +46,40 @@ def test_packing(spark):
     assert pack(documents(spark, [])).count() == 0
 
 
+def test_texts_that_collide_in_polynomial_hashes_keep_their_ids(spark):
+    turn = {"a": "b", "b": "a"}
+    text = "a"
+    while len(text) < 1024:
+        text += "".join(turn[c] for c in text)
+    other = "".join(turn[c] for c in text)
+    got = {r["doc_id"]: r["ids"] for r in pack(documents(spark, [(1, text), (2, other)]).coalesce(1), 2048).where("start = 0").collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for key, t in ((1, text), (2, other)):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, END_ID]
+        assert got[key] == ids[: len(got[key])] and got[key]
+    assert got[1] != got[2]
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, theirs = Encoder(path), Tokenizer.from_file(path)
+    assert mine.fast is not None
+    rng = random.Random(1)
+    chars = [chr(c) for c in [*range(0x250), 0x300, 0x301, 0x2003, 0x2028, 0x3000, 0x6771, 0x1F642, 0x1D518, 0xFEFF]] + list("  \n\n\t''sdmtlrve  ")
+    for _ in range(400):
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(0, 80)))
+        assert mine.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    for text in ["x" * 20_000, " " * 5000, "ab1" * 5000, "漢字" * 3000]:
+        assert mine.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_go_through_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine = Encoder(path)
+    assert mine.fast is None
+    assert mine.encode("Some Words").tolist() == Tokenizer.from_file(path).encode("Some Words", add_special_tokens=False).ids
+
+
 def test_piece_lengths():
     assert piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
     assert piece_lengths(2048) == [2048] and piece_lengths(1) == [1]
