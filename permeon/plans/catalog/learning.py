@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from permeon.operators import models, sampling, scoring
 from permeon.operators.evaluation import metrics
 from permeon.operators.features import apply_array_scaler, fingerprint_vector, fit_array_scaler
-from permeon.operators.knn import KNN_GRID, KNNClassifier
+from permeon.operators.knn import KNN_GRID, KNNClassifier, search_neighbors
+from permeon.operators.tree_models import TREE_GRIDS, TreeEnsembleClassifier, accuracy, f1, score_table, search_trees
+from permeon.operators.trees import boosted_params, extra_params, forest_params, leafwise_params
 from permeon.plans.catalog.registry import Tables, draw_sql, query
 from permeon.plans.training import feature_names, train_and_evaluate
 from permeon.session import scratch_dir
@@ -51,12 +56,12 @@ def random_forest(spark, d):
 
 @query("extra_trees")
 def extra_trees(spark, d):
-    return _fit_scores(spark, d, "ET", models.extra_trees(100, 8))
+    return _fit_scores(spark, d, "ET", TreeEnsembleClassifier.of(extra_params(100, 8), "vec_id"))
 
 
 @query("boosted_trees")
 def boosted_trees(spark, d):
-    return _fit_scores(spark, d, "GBT", models.boosted(50, max_depth=3))
+    return _fit_scores(spark, d, "LGBM", TreeEnsembleClassifier.of(leafwise_params(100, 31), "vec_id"))
 
 
 @query("support_vectors")
@@ -79,57 +84,72 @@ SEARCH_FOLDS = 5
 _TUNING = "model string, params string, mean_score double, std_score double"
 
 
-def _tuned_families(n: int) -> dict:
-    """Estimator and whole grid of every family; ``n`` training rows turn C into Spark's regParam."""
-    return {
-        "LR": (models.logreg(n), {"regParam": [1.0 / (c * n) for c in models.GRIDS["LR"]["C"]]}),
-        "RF": (models.forest(), models.GRIDS["RF"]),
-        "ET": (models.extra_trees(), models.GRIDS["ET"]),
-        "GBT": (models.boosted(), models.GRIDS["GBT"]),
-        "KNN": (KNNClassifier(keyCol="vec_id"), KNN_GRID),
-    }
+def _product(grid: dict) -> list[dict]:
+    return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+
+
+def _searched(spark, settings: dict[str, list[dict]], rows, metric):
+    """Score table of tree families and KNN over their settings, all folds of a family in one run."""
+    shape = {"RF": forest_params, "ET": extra_params, "XGB": boosted_params, "LGBM": leafwise_params}
+    trees = [(name, s) for name, own in settings.items() if name in shape for s in own]
+    names, counts = [(n, json.dumps(s, sort_keys=True)) for n, s in trees], search_trees(rows, [shape[n](**s) for n, s in trees], SEARCH_FOLDS, key="vec_id")
+    if "KNN" in settings:
+        names += [("KNN", json.dumps(s, sort_keys=True)) for s in settings["KNN"]]
+        counts += search_neighbors(rows, settings["KNN"], SEARCH_FOLDS, "vec_id")
+    table = score_table(names, counts, metric)
+    return [(n, params, mean, std) for (n, params), mean, std in table]
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    rows, out = _folds(spark, d, SEARCH_FOLDS), []
-    for name, (est, grid) in _tuned_families(rows.count() * (SEARCH_FOLDS - 1) // SEARCH_FOLDS).items():
-        out += [(name, *r) for r in models.tuning_table(models.tune(est, grid, rows, folds=SEARCH_FOLDS))]
+    rows = _folds(spark, d, SEARCH_FOLDS).persist()
+    n = rows.count() * (SEARCH_FOLDS - 1) // SEARCH_FOLDS
+    linear = models.tune(models.logreg(n), {"regParam": [1.0 / (c * n) for c in models.GRIDS["LR"]["C"]]}, rows, folds=SEARCH_FOLDS)
+    out = [("LR", *r) for r in models.tuning_table(linear)]
+    families = {name: _product(grid) for name, grid in TREE_GRIDS.items()} | {"KNN": _product(KNN_GRID)}
+    out += _searched(spark, families, rows, accuracy)
+    rows.unpersist()
     return spark.createDataFrame(out, _TUNING)
 
 
-#: Trials and ranges of the original searches. Spark's trees end at depth 30 (50 there); they have no least size of
-#: a node to split and no gamma; its share of columns holds for a node, not for a tree. Minkowski distance is Euclidean there.
+#: Trials and ranges of the original searches. Minkowski distance is Euclidean there.
 SEARCHES = {
     "RF": (50, {
-        "numTrees": lambda r: 50 * int(r.integers(2, 21)),
-        "maxDepth": lambda r: int(r.integers(5, 31)),
-        "minInstancesPerNode": lambda r: int(r.integers(1, 21)),
-        "featureSubsetStrategy": lambda r: str(r.choice(["sqrt", "log2"])),
-        "impurity": lambda r: str(r.choice(["gini", "entropy"])),
+        "trees": lambda r: 50 * int(r.integers(2, 21)),
+        "max_depth": lambda r: int(r.integers(5, 51)),
+        "min_split": lambda r: int(r.integers(2, 21)),
+        "min_leaf": lambda r: int(r.integers(1, 21)),
+        "features": lambda r: str(r.choice(["sqrt", "log2"])),
+        "criterion": lambda r: str(r.choice(["gini", "entropy"])),
     }),
     "KNN": (50, {
         "k": lambda r: int(r.integers(1, 31)),
         "weights": lambda r: str(r.choice(["uniform", "distance"])),
-        "metric": lambda r: str(r.choice(["euclidean", "manhattan", "euclidean"])),
+        "metric": lambda r: str(r.choice(["euclidean", "manhattan", "minkowski"])),
     }),
-    "GBT": (100, {
-        "maxIter": lambda r: int(r.integers(100, 1001)),
-        "maxDepth": lambda r: int(r.integers(3, 21)),
-        "stepSize": lambda r: float(r.uniform(0.01, 0.3)),
-        "subsamplingRate": lambda r: float(r.uniform(0.6, 1.0)),
-        "featureSubsetStrategy": lambda r: str(round(float(r.uniform(0.6, 0.999)), 3)),
+    "XGB": (100, {
+        "trees": lambda r: int(r.integers(100, 1001)),
+        "max_depth": lambda r: int(r.integers(3, 21)),
+        "step": lambda r: float(r.uniform(0.01, 0.3)),
+        "subsample": lambda r: float(r.uniform(0.6, 1.0)),
+        "columns": lambda r: float(r.uniform(0.6, 1.0)),
+        "gamma": lambda r: float(r.uniform(0.0, 5.0)),
     }),
 }
 
 
+def drawn_settings(family: str, seed: int = sampling.SEED) -> list[dict]:
+    """The trials of a family: seeded draws from its ranges."""
+    trials, space = SEARCHES[family]
+    rng = np.random.default_rng(seed)
+    return [{name: draw(rng) for name, draw in space.items()} for _ in range(trials)]
+
+
 @query("sampled_search")
 def sampled_search(spark, d):
-    families = {"RF": models.forest(), "KNN": KNNClassifier(keyCol="vec_id"), "GBT": models.boosted()}
-    rows, out = _folds(spark, d, SEARCH_FOLDS), []
-    for name, (trials, space) in SEARCHES.items():
-        tuned = models.sampled_search(families[name], space, trials, rows, folds=SEARCH_FOLDS)
-        out += [(name, *r) for r in models.tuning_table(tuned)]
+    rows = _folds(spark, d, SEARCH_FOLDS).persist()
+    out = _searched(spark, {name: drawn_settings(name) for name in SEARCHES}, rows, f1)
+    rows.unpersist()
     return spark.createDataFrame(out, _TUNING)
 
 
@@ -235,22 +255,33 @@ def knn_out_of_fold(spark, d):
 _MANHATTAN = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2])))"
 
 
+def _grid_votes_sql() -> str:
+    """One vote per row and setting of KNN_GRID."""
+    parts = []
+    for s in _product(KNN_GRID):
+        k, rank, dist = s["k"], {"euclidean": "re", "manhattan": "rm"}[s["metric"]], s["metric"]
+        if s["weights"] == "distance":
+            side = f"round(coalesce(sum(CASE WHEN y = {{c}} THEN CASE WHEN nearest = 0 THEN ({dist} = 0)::INT ELSE 1 / {dist} END END), 0), 12)"
+            vote = f"({side.format(c=1)} > {side.format(c=0)})::INT"
+        else:
+            vote = f"(sum(y) * 2 > {k})::INT"
+        parts.append(f"""SELECT {k} AS k, '{s["weights"]}' AS weights, '{dist}' AS metric, vec_id, fold, label, {vote} AS pred
+          FROM (SELECT *, min({dist}) OVER (PARTITION BY vec_id) AS nearest FROM r WHERE {rank} <= {k}) GROUP BY vec_id, fold, label""")
+    return " UNION ALL ".join(parts)
+
+
 @query(
     "knn_grid_search",
     f"""WITH {_FOLDED}, m AS (SELECT a.vec_id, a.fold, a.y AS label, b.y, b.vec_id AS other, list_distance(a.x, b.x) AS euclidean,
         {_MANHATTAN} AS manhattan FROM f a JOIN f b ON a.fold <> b.fold),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY euclidean, other) AS re,
-        row_number() OVER (PARTITION BY vec_id ORDER BY manhattan, other) AS rm FROM m),
-    v AS (SELECT 3 AS k, 'euclidean' AS metric, vec_id, fold, label, (sum(y) * 2 > 3)::INT AS pred FROM r WHERE re <= 3 GROUP BY ALL
-      UNION ALL SELECT 5, 'euclidean', vec_id, fold, label, (sum(y) * 2 > 5)::INT FROM r WHERE re <= 5 GROUP BY ALL
-      UNION ALL SELECT 3, 'manhattan', vec_id, fold, label, (sum(y) * 2 > 3)::INT FROM r WHERE rm <= 3 GROUP BY ALL
-      UNION ALL SELECT 5, 'manhattan', vec_id, fold, label, (sum(y) * 2 > 5)::INT FROM r WHERE rm <= 5 GROUP BY ALL),
-    a AS (SELECT k, metric, fold, avg((pred = label)::INT) AS acc FROM v GROUP BY ALL)
-    SELECT k::BIGINT AS k, metric, round(avg(acc), 9) AS mean_score FROM a GROUP BY ALL""",
+        row_number() OVER (PARTITION BY vec_id ORDER BY manhattan, other) AS rm FROM m QUALIFY least(re, rm) <= {max(KNN_GRID["k"])}),
+    v AS ({_grid_votes_sql()}),
+    a AS (SELECT k, weights, metric, fold, avg((pred = label)::INT) AS acc FROM v GROUP BY ALL)
+    SELECT k::BIGINT AS k, weights, metric, round(avg(acc), 9) AS mean_score FROM a GROUP BY ALL""",
 )
 def knn_grid_search(spark, d):
-    grid = {"k": [3, 5], "metric": ["euclidean", "manhattan"]}
-    tuned = models.tune(KNNClassifier(keyCol="vec_id"), grid, _folds(spark, d, 5), folds=5)
-    settings = [{p.name: v for p, v in m.items()} for m in tuned.getEstimatorParamMaps()]
-    rows = [(s["k"], s["metric"], round(float(a), 9)) for s, a in zip(settings, tuned.avgMetrics)]
-    return spark.createDataFrame(rows, "k bigint, metric string, mean_score double")
+    settings = _product(KNN_GRID)
+    counts = search_neighbors(_folds(spark, d, 5), settings, 5, "vec_id")
+    rows = [(s["k"], s["weights"], s["metric"], round(float(np.mean([accuracy(*c) for c in per_fold])), 9)) for s, per_fold in zip(settings, counts, strict=True)]
+    return spark.createDataFrame(rows, "k bigint, weights string, metric string, mean_score double")
