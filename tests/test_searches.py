@@ -1,49 +1,33 @@
-"""The registered searches try every setting they are meant to."""
+"""The registered searches try every setting they are meant to, with all rows."""
 
+import json
 from collections import Counter
-from types import SimpleNamespace
 
-import pytest
-
-from permeon.operators import models
 from permeon.operators.knn import KNN_GRID
+from permeon.operators.tree_models import TREE_GRIDS
 from permeon.plans.catalog import learning
 
 
-@pytest.fixture
-def asked(monkeypatch):
-    """Estimators, settings and folds of the validations, which are not run."""
-    calls = []
-
-    def validated(est, maps, train, fold, folds, metric, parallelism):
-        calls.append((est, list(maps), folds, metric))
-        return SimpleNamespace(getEstimatorParamMaps=lambda: maps, avgMetrics=[0.5] * len(maps), stdMetrics=[0.0] * len(maps))
-
-    monkeypatch.setattr(models, "_validated", validated)
-    return calls
-
-
-def _valid(calls):
-    for est, maps, folds, _ in calls:
-        assert folds == 5
-        for m in maps:
-            one = est.copy(m)
-            if hasattr(one, "_transfer_params_to_java"):
-                one._transfer_params_to_java()
+def test_grid_search_covers_every_grid(spark, data):
+    rows = learning.grid_search(spark, data).collect()
+    assert Counter(r["model"] for r in rows) == {"LR": 3, "RF": 8, "ET": 8, "LGBM": 8, "XGB": 16, "KNN": 16}
+    for name, grid in {**TREE_GRIDS, "KNN": KNN_GRID}.items():
+        got = {r["params"] for r in rows if r["model"] == name}
+        assert got == {json.dumps(s, sort_keys=True) for s in learning._product(grid)}
+    assert all(0 <= r["mean_score"] <= 1 and r["std_score"] >= 0 for r in rows)
 
 
-def test_grid_search_covers_every_grid(spark, data, asked):
-    got = Counter(r["model"] for r in learning.grid_search(spark, data).collect())
-    assert got == {"LR": 3, "RF": 8, "ET": 8, "GBT": 16, "KNN": 16}
-    _valid(asked)
-    knn = {tuple(sorted((p.name, v) for p, v in m.items())) for m in asked[-1][1]}
-    assert len(knn) == 16 and {dict(s)["k"] for s in knn} == set(KNN_GRID["k"])
+def test_sampled_settings_lie_in_the_ranges():
+    forests, neighbours, boosting = (learning.drawn_settings(n) for n in ("RF", "KNN", "XGB"))
+    assert (len(forests), len(neighbours), len(boosting)) == (50, 50, 100)
+    assert {s["trees"] % 50 for s in forests} == {0} and max(s["trees"] for s in forests) > 800 and max(s["max_depth"] for s in forests) > 40
+    assert {s["k"] for s in neighbours} <= set(range(1, 31)) and {s["metric"] for s in neighbours} == {"euclidean", "manhattan", "minkowski"}
+    assert all(0 <= s["gamma"] <= 5 and 0.6 <= s["columns"] <= 1 and 3 <= s["max_depth"] <= 20 for s in boosting)
+    assert learning.drawn_settings("XGB") == boosting
 
 
-def test_sampled_search_runs_every_trial(spark, data, asked):
-    got = Counter(r["model"] for r in learning.sampled_search(spark, data).collect())
-    assert got == {"RF": 50, "KNN": 50, "GBT": 100}
-    _valid(asked)
-    assert {metric for *_, metric in asked} == {"f1"}
-    trees = [{p.name: v for p, v in m.items()} for m in asked[0][1]]
-    assert {t["numTrees"] % 50 for t in trees} == {0} and max(t["numTrees"] for t in trees) > 800 and max(t["maxDepth"] for t in trees) > 25
+def test_sampled_search_runs_every_trial(spark, data):
+    rows = learning.sampled_search(spark, data).collect()
+    assert Counter(r["model"] for r in rows) == {"RF": 50, "KNN": 50, "XGB": 100}
+    for name in learning.SEARCHES:
+        assert Counter(r["params"] for r in rows if r["model"] == name) == Counter(json.dumps(s, sort_keys=True) for s in learning.drawn_settings(name))
