@@ -172,8 +172,9 @@ def first_of_each(docs: DataFrame, found: DataFrame, group: Column) -> DataFrame
     first = found.groupBy(group.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"))
     id_text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     kept = first.select(id_text(F.col("_first.doc_id")).alias("_id"), F.col("_first.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_id": id_text(F.col("doc_id")), "_hash": F.xxhash64("text")})
-    return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    # The row travels as one column, so that no column of it meets one made here.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), id_text(F.col("doc_id")).alias("_id"), F.xxhash64("text").alias("_hash"))
+    return keyed.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
