@@ -249,22 +249,25 @@ def fit_toxicity(labelled: DataFrame) -> ToxicityModel | None:
     tokens = token_scores(*totals)
     shared = spark.sparkContext.broadcast(tokens)
 
-    def measured(batches):
+    def best(batches):
         for batch in batches:
-            found = [(n, [s for _, _, s in segments]) for n, segments, _ in _segments(shared.value, batch.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([sorted(s)[-100:] for _, s in found], pa.list_(pa.float64()))],
-                ["toxic", "n", "segments"],
-            )
+            found = [(n, max((s for _, _, s in segments), default=0.0)) for n, segments, _ in _segments(shared.value, batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["toxic", "n", "best"])
 
-    fitted = rows.where(F.col("_draw") % CALIBRATION_PART == 0).select("text", "toxic").transform(in_arrow, measured, "toxic int, n bigint, segments array<double>").collect()
-    fitted = sorted((r["toxic"], r["n"], sorted(r["segments"])) for r in fitted)
-    clean = [(n, s[-1] if s else 0.0) for t, n, s in fitted if not t]
+    kept = rows.where(F.col("_draw") % CALIBRATION_PART == 0).select("text", "toxic")
+    clean = sorted((r["n"], r["best"]) for r in kept.where("toxic = 0").transform(in_arrow, best, "toxic int, n bigint, best double").collect())
     law = Calibration(*extreme_value_law(np.array([n for n, _ in clean]), np.array([b for _, b in clean])), None)
-    y = np.array([float(t) for t, _, _ in fitted])
+
+    def weighed(batches):
+        """The evidence of every text, over all of its segments, now that the law is known."""
+        for batch in batches:
+            found = [law.evidence(n, [s for _, _, s in segments]) for n, segments, _ in _segments(shared.value, batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], ["toxic", "surprise", "total"])
+
+    known = sorted(tuple(r) for r in kept.transform(in_arrow, weighed, "toxic int, surprise double, total double").collect())
+    y = np.array([float(r[0]) for r in known])
     if 0 < y.sum() < len(y):
-        x = np.array([law.evidence(n, s) for _, n, s in fitted])
-        law = law._replace(curve=logistic_curve(np.clip(x, -20, 60), y))
+        law = law._replace(curve=logistic_curve(np.clip(np.array([r[1:] for r in known]), -20, 60), y))
     return ToxicityModel(tokens, law)
 
 

@@ -1,11 +1,13 @@
 """Language, toxicity, URL and quality operators: edge cases, plain definitions, held-out accuracy."""
 
 import math
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,16 @@ def test_language(spark):
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1 and (letters or r["score"] == 0)
 
 
+def test_languages_of_many_copies_are_learnt(spark):
+    """A language whose rows are copies of a few texts is drawn by its distinct texts."""
+    rows = language_rows()
+    few = [(5000 + i, prose(9000 + i % 6, 60, ["zzo", "xu", "kya", "qi"]), "xx") for i in range(1200)]
+    model = language_id.fit_language_model(documents(spark, rows + few), rows_per_language=40)
+    held = documents(spark, [(1, prose(1, 60, ["zzo", "xu", "kya", "qi"])), (2, rows[0][1])])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_language(held, model, ["doc_id"]).collect()}
+    assert got == {1: "xx", 2: rows[0][2]}
+
+
 def test_language_without_labels_or_rows(spark):
     docs = documents(spark, AWKWARD)
     assert language_id.fit_language_model(docs.withColumn("lang", F.lit(None).cast("string"))) is None
@@ -103,6 +115,33 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_held_out_toxicity_of_the_tables(spark, data):
+    # The smallest tables have too few toxic labels to learn from.
+    data = os.path.join(os.path.dirname(data), "sf0.1")
+    if not os.path.isdir(data):
+        pytest.skip(f"no test tables at {data}")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op1_toxicity"](spark, data).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic = [r["predicted"] for r in rows if labels[r["doc_id"]] == 1]
+    clean = [r["predicted"] for r in rows if labels[r["doc_id"]] == 0]
+    assert toxic and clean and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_the_curve_sees_all_segments_of_a_text(spark, monkeypatch):
+    """Evidence when the curve is fitted is that of scoring, however many segments a text has."""
+    seen = []
+    monkeypatch.setattr(toxicity, "logistic_curve", lambda x, y: seen.append(x) or (0.0, 1.0, 1.0))
+    bad, good = "vileword", "the quiet river went on past some old houses and then the hills"
+    rows = [(i, f"{prose(i, 20)} {bad} {good}" if i % 2 else f"{prose(i, 20)} {good}") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"{bad}{k % 7} {good}" for k in range(400)) + f" {i}") for i in range(8)]
+    texts = documents(spark, rows).select("text", (F.col("doc_id") % 2 + (F.col("doc_id") >= 1000).cast("int") > 0).cast("int").alias("toxic"))
+    model = toxicity.fit_toxicity(texts)
+    kept = [t for t, in texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) % toxicity.CALIBRATION_PART == 0).select("text").collect()]
+    found = list(toxicity._segments(model.tokens, pa.array(kept)))
+    want = sorted(model.calibration.evidence(n, [s for _, _, s in segments])[1] for n, segments, _ in found)
+    assert np.allclose(sorted(seen[0][:, 1]), np.clip(want, -20, 60))
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     docs = documents(spark, AWKWARD)
