@@ -5,9 +5,9 @@ penalty; a temperature, fitted on rows that training has not seen, calibrates th
 probabilities.
 
 Document frequencies count every learnable text. The regression sees at most about
-ROWS_PER_LANGUAGE texts of each language, drawn by the text's hash, whose n-gram
-counts (not texts) come to the driver. The model, LANGUAGES x CELLS numbers at
-most, is broadcast, and prediction is one narrow pass over whole texts.
+ROWS_PER_LANGUAGE distinct texts of each language, drawn by the text's hash, whose
+n-gram counts (not texts) come to the driver. The model, CELLS numbers for each
+language, is broadcast, and prediction is one narrow pass over whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
 Without labelled rows all texts are ``und``. Rows are judged one by one: repeated
@@ -30,10 +30,8 @@ from permeon.llm.common import LOWER, in_arrow, mix, text_blocks
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 CELLS = 1 << 15
-#: Bound of the classifier's sample, by language.
+#: Bound of the classifier's sample, by language, in distinct texts.
 ROWS_PER_LANGUAGE = 400
-#: Most frequent languages that are learnt; bounds the model.
-LANGUAGES = 512
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 
@@ -173,9 +171,15 @@ def _sampled(batches):
 
 
 def fit_language_model(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel | None:
-    """A model from the text and lang of ``docs``; None without labelled rows."""
+    """A model from the text and lang of ``docs``; None without labelled rows.
+
+    It learns from about ``rows_per_language`` distinct texts of each language, all if there are
+    fewer; copies of a text count once. Each language takes 128 KB of the model, and
+    half a MB of the driver while it is fitted.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    texts_of = known.select("lang", F.xxhash64("text").alias("draw")).distinct()
+    sizes = {r[0]: r[1] for r in texts_of.groupBy("lang").count().collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -188,12 +192,14 @@ def fit_language_model(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUA
     idf = np.log((1 + texts) / (1 + freq)) + 1
 
     space = 1 << 20
-    draw = F.pmod(F.xxhash64("text"), F.lit(space))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, int(space * min(1.0, rows_per_language / sizes[k])))))
-    drawn = known.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("text", "lang", "draw")
+    hashed = known.withColumn("draw", F.xxhash64("text"))
+    drawn = hashed.where(F.pmod("draw", F.lit(space)) < F.element_at(share, F.col("lang")))
+    # Of the few that are drawn, one copy of each text; the text of least order stands for a hash.
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text")).select("text", "lang", "draw")
     sample = drawn.transform(in_arrow, _sampled, "lang string, draw bigint, cells binary, counts binary").collect()
     rows = []
-    for r in sorted(sample, key=lambda r: (hash_order(r["draw"]), r["lang"])):
+    for r in sorted(sample, key=lambda r: (hash_order(r["draw"]), r["draw"], r["lang"])):
         cells, counts = np.frombuffer(r["cells"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32)
         rows.append((languages.index(r["lang"]), cells, tf_idf(idf, cells, counts) if len(cells) else np.zeros(0)))
     held = [r for i, r in enumerate(rows) if i % 5 == 4]
