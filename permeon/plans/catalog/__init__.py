@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("tables", "analysis", "preparation", "ensembles", "learning", "texts", "streams")
+TOPICS = ("tables", "analysis", "preparation", "ensembles", "learning", "texts", "streams", "batches")
 
 
 def load():

@@ -29,15 +29,18 @@ def stream_score(
     store: ResultStore,
     order: Sequence[str],
     checkpoint: str,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Score what has arrived and insert the new keys.
 
-    A batch that is run again after a failure finds its keys in the store, so
-    each key is written once.
+    A batch's number is committed with its rows, under ``name`` (the checkpoint's
+    path if not given): one that is run again after a failure, its rows being in, is
+    neither scored nor compared. With a new checkpoint numbers start again; give a
+    new name then, and keys that are there are still written once.
     """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        store.insert(score(batch), order)
+        store.insert(score(batch), order, (name or checkpoint, batch_id))
 
     return (
         source.writeStream.foreachBatch(insert)

@@ -74,7 +74,8 @@ def test_store_spreads_a_bucket_and_knows_only_missing_paths(spark, tmp_path, mo
     store.insert(batch, ["key"])
     store.insert(batch.union(spark.range(1000, 1010).select("id", "id")), ["key"])
     assert store.read().count() == 1010 and store.read().select("key").distinct().count() == 1010
-    assert len(list((tmp_path / "s").glob("*/*.parquet"))) > 6
-    broken = ResultStore(spark, str(tmp_path / "s" / "*" / "["), batch.schema, "key")
-    with pytest.raises(Exception):  # noqa: B017
-        broken.read().count()
+    assert len(list((tmp_path / "s").glob("data/*/*/*.parquet"))) > 6
+    assert ResultStore(spark, str(tmp_path / "none"), batch.schema, "key").read().count() == 0
+    (tmp_path / "s" / "manifests" / "000000000003.json").write_text("{")
+    with pytest.raises(ValueError):
+        store.read()

@@ -173,3 +173,36 @@ def test_metrics_are_zero_guarded(spark):
 def test_best_checkpoint_prefers_the_later(spark):
     df = spark.createDataFrame([(0, 0.5), (1, 0.9), (2, 0.9), (3, 0.1), (4, float("nan"))], "epoch int, valid double")
     assert evaluation.best_checkpoint(df, "epoch", "valid").first()["epoch"] == 2
+
+
+def test_a_fitted_batch_keeps_every_request(spark, data):
+    """Fitted models, saved and loaded, answer in one plan; failures stay as rows with their reason."""
+    from permeon.plans.catalog import batches
+
+    out = batches.score_batch_fitted(spark, data).collect()
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 4 = 0").select("vec_id").collect()}
+    assert sorted(r["vec_id"] for r in out) == sorted(asked)
+    for r in out:
+        found = r["vec_id"] % 5 == 0 or r["vec_id"] % 3 != 2
+        described = found and r["vec_id"] % 17 != 5
+        assert r["status"] == ("Success" if described else "Error")
+        assert r["error"] == (None if described else "Descriptor calculation failed" if found else "Could not process molecule")
+        assert (r["num_models"] == 3) if described else r["num_models"] is None and r["prediction"] is None
+    good = [r for r in out if r["status"] == "Success"]
+    assert all(0 <= r["confidence"] <= 100 and 0 <= r["uncertainty"] <= 50 and 50 <= r["agreement"] <= 100 for r in good)
+    errors_first = [r["status"] == "Error" for r in out]
+    assert errors_first == sorted(errors_first, reverse=True)
+
+
+def test_rows_without_features_get_no_neighbours_vote(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from permeon.operators.knn import KNNClassifier
+    from permeon.operators.tree_models import TreeEnsembleClassifier
+    from permeon.operators.trees import forest_params
+
+    rows = spark.range(40).select("id", array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") > 20).cast("double").alias("label"))
+    asked = rows.select("id", F.when(F.col("id") < 3, F.col("features")).alias("features"))
+    for est in (KNNClassifier(keyCol="id", k=3), TreeEnsembleClassifier.of(forest_params(5, 3), "id")):
+        got = {r["id"]: r["prediction"] for r in est.fit(rows).transform(asked).collect()}
+        assert len(got) == 40 and {k for k, v in got.items() if v is not None} == {0, 1, 2}

@@ -105,3 +105,104 @@ def test_forgotten_keys_come_again(spark, tmp_path):
     go()
     arrive(spark, src, [("a", 31), ("c", 31)])
     assert sorted(k for k, _ in go()) == ["a", "a", "b", "c"]
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return ResultStore(spark, str(tmp_path / "store"), STORE, "key", buckets=3)
+
+
+def batch_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "key string, score int, v int")
+
+
+def contents(store):
+    return sorted(tuple(r) for r in store.read().collect())
+
+
+def test_a_write_killed_before_its_commit_is_not_seen(spark, store, monkeypatch):
+    store.insert(batch_of(spark, ("a", 1, 0)), ["v"])
+    commit = store._commit
+    monkeypatch.setattr(store, "_commit", lambda new: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        store.insert(batch_of(spark, ("a", 9, 0), ("b", 2, 0), ("c", 3, 0)), ["v"])
+    assert contents(store) == [("a", 1)]
+    monkeypatch.setattr(store, "_commit", commit)
+    store.insert(batch_of(spark, ("b", 2, 0), ("c", 3, 0)), ["v"])
+    assert contents(store) == [("a", 1), ("b", 2), ("c", 3)]
+    assert store.vacuum() > 0 and contents(store) == [("a", 1), ("b", 2), ("c", 3)] and store.vacuum() == 0
+
+
+def test_a_second_writer_comes_second(spark, store, monkeypatch):
+    """Another writer commits between this one's look at the store and its commit."""
+    other = ResultStore(spark, store.path, STORE, "key", buckets=3)
+    commit, tries = store._commit, []
+
+    def late(new):
+        tries.append(new.version)
+        if len(tries) == 1:
+            other.insert(batch_of(spark, ("a", 7, 0), ("z", 8, 0)), ["v"])
+        commit(new)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.insert(batch_of(spark, ("a", 1, 0), ("b", 2, 0)), ["v"])
+    assert tries == [1, 2] and contents(store) == [("a", 7), ("b", 2), ("z", 8)]
+
+
+def test_threads_insert_each_key_once(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(i):
+        mine = ResultStore(spark, store.path, STORE, "key", buckets=3)
+        mine.insert(batch_of(spark, *((f"k{k}", i, 0) for k in range(i, i + 6))), ["v"])
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(work, range(3)))
+    assert [k for k, _ in contents(store)] == [f"k{k}" for k in range(8)]
+    assert store.manifest().version == 3
+
+
+def test_a_replayed_batch_reads_nothing(spark, store, monkeypatch):
+    store.insert(batch_of(spark, ("a", 1, 0)), ["v"], ("s", 0))
+    store.insert(batch_of(spark, ("b", 1, 0)), ["v"], ("other", 0))
+    monkeypatch.setattr(store, "_rows", lambda files: pytest.fail("the store was read"))
+    monkeypatch.setattr(store, "_written", lambda rows: pytest.fail("rows were written"))
+    store.insert(SimpleNamespace(), ["v"], ("s", 0))
+    monkeypatch.undo()
+    store.insert(batch_of(spark, ("a", 5, 0), ("c", 1, 0)), ["v"], ("s", 1))
+    assert contents(store) == [("a", 1), ("b", 1), ("c", 1)] and store.manifest().batches == {"s": 1, "other": 0}
+
+
+def test_compaction_keeps_rows_and_open_readers(spark, store):
+    for i in range(5):
+        store.insert(batch_of(spark, *((f"k{i}-{k}", i, 0) for k in range(9))), ["v"])
+    before, reader = contents(store), store.read()
+    files = store.manifest().files
+    assert max(map(len, files.values())) == 5
+    assert store.compact(2) == len(files) and store.compact(2) == 0
+    assert max(map(len, store.manifest().files.values())) == 1 and contents(store) == before
+    assert sorted(tuple(r) for r in reader.collect()) == before
+    assert store.vacuum() == sum(map(len, files.values())) and contents(store) == before
+
+
+def test_a_stream_killed_between_write_and_checkpoint_goes_on(spark, tmp_path, store, monkeypatch):
+    src, ckpt = str(tmp_path / "in"), str(tmp_path / "ck")
+    go = lambda scorer: run_to_end(stream_score(stream_files(spark, src, EVENTS), scorer, store, ["v"], ckpt))
+    arrive(spark, src, [("a", 1), ("b", 2)])
+    insert = store.insert
+
+    def then_die(*args):
+        insert(*args)
+        raise RuntimeError("killed after the commit")
+
+    monkeypatch.setattr(store, "insert", then_die)
+    with pytest.raises(Exception, match="killed after the commit"):
+        go(score)
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "_rows", lambda files: pytest.fail("the store was read"))
+    go(score)
+    monkeypatch.undo()
+    assert contents(store) == [("a", 10), ("b", 20)] and store.manifest().version == 1
+    arrive(spark, src, [("b", 0), ("c", 3)])
+    go(score)
+    assert contents(store) == [("a", 10), ("b", 20), ("c", 30)]
