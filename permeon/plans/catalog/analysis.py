@@ -14,7 +14,9 @@ from permeon.plans.catalog.inputs import (
     sparse_events,
 )
 from permeon.plans.catalog.registry import Tables, half_even_sql, nullable, query
-from permeon.plans.curation import curate
+from permeon.plans.curation import SOURCE_THRESHOLDS, curate_sources
+from permeon.session import scratch_dir
+from permeon.sources.multi import read_sources
 
 
 def rounded(df, digits: int, *cols: str):
@@ -273,16 +275,43 @@ def task_split(spark, d):
     return a.unionByName(b)
 
 
-@query("curation_chain")
+_LIMITS = " ".join(f"WHEN '{r}' THEN {t}::DOUBLE" for r, t in SOURCE_THRESHOLDS.items() if not t.startswith("("))
+_FROM_SOURCES = _CONSENSUS.replace("CAST(floor(value / 2) AS BIGINT) AS slot", "slot").replace("FROM events)", "FROM measured)")
+
+
+@query(
+    "curation_chain",
+    f"""WITH src AS (SELECT user_id, CAST(floor(value / 2) AS BIGINT) AS slot, 'R' || (user_id % 30 + 1) AS reference,
+      CASE WHEN event_type IN ('click', 'view') THEN value - 5 END AS value, CASE WHEN event_id % 3 = 0 THEN 'BBB-' ELSE 'BBB+' END AS label
+      FROM events WHERE event_id % 7 <> 3 AND user_id % 19 <> 0),
+    measured AS (SELECT user_id, slot, value FROM src WHERE value > -9), {_FROM_SOURCES},
+    numbers AS (SELECT user_id, slot, CASE grp WHEN 'D' THEN us[1]::DOUBLE ELSE mean::DOUBLE END / scale AS value FROM g WHERE NOT contains(grp, 'dropped')),
+    votes AS (SELECT user_id, slot, label, CASE reference {_LIMITS} END AS stated FROM src WHERE value IS NULL),
+    k AS (SELECT user_id, slot, min(value) AS measured, min(stated) AS threshold FROM (SELECT user_id, slot, value, NULL AS stated FROM numbers
+      UNION ALL SELECT user_id, slot, NULL, stated FROM votes) GROUP BY ALL),
+    c2 AS (SELECT user_id, slot, label, count(*) AS n FROM votes GROUP BY ALL),
+    t AS (SELECT user_id, slot, count(*) AS kinds, list(n ORDER BY n DESC, label) AS ns, list(label ORDER BY n DESC, label) AS ls FROM c2 GROUP BY ALL),
+    f AS (SELECT k.user_id, k.slot, measured, CASE WHEN measured >= -1 THEN 'BBB+' WHEN measured IS NOT NULL THEN 'BBB-' ELSE ls[1] END AS label,
+      CASE WHEN measured IS NOT NULL THEN 'A' WHEN threshold = -1 AND kinds = 1 THEN 'B' WHEN threshold = -1 THEN 'dropped_group1'
+        WHEN kinds = 1 THEN 'C' WHEN ns[1] > ns[2] THEN 'D' ELSE 'dropped_group2' END AS grp
+      FROM k LEFT JOIN t ON k.user_id = t.user_id AND k.slot = t.slot)
+    SELECT 'c' || user_id || 'n' || slot AS key, round(measured, 6) AS value, label, grp AS "group" FROM f WHERE NOT contains(grp, 'dropped')""",
+)
 def curation_chain(spark, d):
-    e = Tables(spark, d).events
-    rows = e.select(
-        F.concat_ws("-", "user_id", F.floor(F.col("value") / 2)).alias("key"),
-        F.when(F.col("event_type").isin("click", "view"), F.col("value")).alias("log_bb"),
-        F.when(F.col("event_type") == "error", "BBB-").otherwise("BBB+").alias("label"),
-        F.when(F.col("user_id") < 50, -1.0).alias("threshold"),
+    """From the folders of thirty sources, read as one table, to one labelled row for each structure."""
+    user, slot = F.col("user_id"), F.floor(F.col("value") / 2)
+    body = F.concat(F.lit("C"), user, F.lit("N"), slot)
+    spelled = F.when(user % 19 == 0, F.concat(F.lit("[Hg]"), body)).when(F.col("event_id") % 2 == 0, F.concat(body, F.lit(".Cl"))).otherwise(F.concat(F.lit(" "), F.lower(body)))
+    records = Tables(spark, d).events.select(
+        F.concat(F.lit("R"), user % 30 + 1).alias("source"),
+        F.when(F.col("event_id") % 7 != 3, spelled).alias("smiles"),
+        F.when(F.col("event_type").isin("click", "view"), F.col("value") - 5).alias("logBB"),
+        F.when(F.col("event_id") % 3 == 0, "BBB-").otherwise("BBB+").alias("label"),
     )
-    return curate(rows, "key", "log_bb", "label", "threshold")
+    path = scratch_dir(spark, "sources")
+    records.write.partitionBy("source").json(path)
+    read = read_sources(spark, f"{path}/*", records.drop("source").schema)
+    return rounded(curate_sources(read, "smiles", "logBB", "label"), 6, "value")
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from permeon.operators import models, sampling, scoring
 from permeon.operators.evaluation import metrics
 from permeon.operators.features import apply_array_scaler, fingerprint_vector, fit_array_scaler
+from permeon.operators.kernel import KernelSVC
 from permeon.operators.knn import KNN_GRID, KNNClassifier, search_neighbors
 from permeon.operators.tree_models import TREE_GRIDS, TreeEnsembleClassifier, accuracy, f1, score_table, search_trees
 from permeon.operators.trees import boosted_params, extra_params, forest_params, leafwise_params
@@ -66,11 +67,7 @@ def boosted_trees(spark, d):
 
 @query("support_vectors")
 def support_vectors(spark, d):
-    width = len(feature_names(_labelled(spark, d), "embedding"))
-    mapped = models.fourier_features(_labelled(spark, d), "embedding", width, 128, gamma=1.0 / width)
-    parts = sampling.stratified_split(mapped, "vec_id", "y")
-    sides = [models.as_vectors(parts.filter(F.col("split") == s), "embedding", "y", ["vec_id"]) for s in ("train", "test")]
-    return scoring.score_models(sides[1], "vec_id", {"SVM": models.svm().fit(sides[0])}, keep=["label"])
+    return _fit_scores(spark, d, "SVM", KernelSVC(keyCol="vec_id"))
 
 
 @query("perceptron")

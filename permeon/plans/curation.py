@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permeon.functions.text import HEAVY_ELEMENTS
 from permeon.operators.aggregates import split_by_presence
 from permeon.operators.consensus import drop_groups, label_consensus, numeric_consensus
 from permeon.operators.features import canonicalize, element_screen, keep_largest_part
 from permeon.operators.filters import drop_null, filter_range
 
-# Measurement floor, and the decision threshold stated by the sources that gave one.
+# Measurement floor, and the decision threshold stated by the sources that gave one (R2 an interval).
 VALUE_FLOOR = -9.0
-SOURCE_THRESHOLDS = {"R1": -1.0, "R7": -1.0, "R8": 0.0, "R13": -1.0, "R16": -1.0, "R18": 0.1, "R19": -1.0, "R25": 0.0, "R28": -1.0}
+SOURCE_THRESHOLDS = {
+    "R1": "-1", "R2": "(-2,-1)", "R7": "-1", "R8": "0", "R13": "-1", "R16": "-1", "R18": "0.1", "R19": "-1", "R25": "0", "R28": "-1",
+}
+
+
+def source_threshold(reference: str) -> Column:
+    """What the record's source states, as text; null for sources that state nothing."""
+    stated = F.create_map(*[F.lit(x) for pair in SOURCE_THRESHOLDS.items() for x in pair])
+    return F.try_element_at(stated, F.col(reference))
 
 
 def clean_keys(records: DataFrame, raw_key: str, banned: Sequence[str] = (), sep: str | None = None) -> DataFrame:
@@ -43,7 +52,19 @@ def curate(records: DataFrame, key: str, value: str, label: str, threshold: str
             key,
             nothing.cast("double").alias("__value"),
             F.col(label).alias("__label"),
-            (F.col(threshold).cast("double") if threshold else nothing.cast("double")).alias("__limit"),
+            (F.col(threshold).try_cast("double") if threshold else nothing.cast("double")).alias("__limit"),
         )
     )
     return drop_groups(label_consensus(rows, [key], "__label", "__value", "__limit", value_name="value"))
+
+
+def curate_sources(
+    records: DataFrame, raw_key: str, value: str, label: str, reference: str = "reference", banned: Sequence[str] = HEAVY_ELEMENTS, sep: str = "."
+) -> DataFrame:
+    """:func:`curate` from the sources' records on: structures cleaned, thresholds taken from the source.
+
+    An interval is no threshold to decide by; its source's votes count like those of sources
+    that state none.
+    """
+    cleaned = clean_keys(records, raw_key, banned, sep)
+    return curate(cleaned.withColumn("__stated", source_threshold(reference)), "key", value, label, "__stated")
