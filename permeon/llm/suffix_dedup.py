@@ -20,8 +20,9 @@ once per group, however often it occurs there. An anchor with over HOT_PIECES
 different pieces (the surroundings of a hot passage) is dealt again by the bytes that
 SLOT adjacent windows share, so its pieces spread over all buckets.
 
-Defined results: a null text is empty. A null id is later than every other, and
-never earlier than any. Rows with one id never remove from each other. Bytes are
+Defined results: a null text is empty. A null id is later than every other (the
+greatest long counts as null), and never earlier than any. Ids that are not integers
+are ranked first. Rows with one id never remove from each other. Bytes are
 bytes: a cut may fall inside a character. Columns other than those named are not
 read.
 """
@@ -38,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permeon.llm.common import bound_batches, mix, ragged, range_hashes, text_blocks
+from permeon.llm.common import bound_batches, mix, ragged, range_hashes, stored, text_blocks
 from permeon.llm.suffix_array import suffix_arrays
+from permeon.operators.ordering import ranked
 
 LENGTH = 50
 GRAM = 16
@@ -300,15 +302,19 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
         data, _ = _bytes_of(texts)
         hashes = range_hashes(data, runs.start, runs.start + runs.size + length - 1) if len(runs.start) else np.zeros(0, np.uint64)
         order, heads = _first_of_equal(runs.anchor, hashes)
-        anchors, n = np.unique(runs.anchor[order[heads]], return_counts=True)
+        anchors, first, n = np.unique(runs.anchor[order[heads]], return_index=True, return_counts=True)
         low = (anchors & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return _messages(key[0].as_py(), 0, _bucket(anchors, buckets), anchors=(low, None), pieces=(np.minimum(n, 255).astype(np.uint8), None))
+        marks = (hashes[order[heads]][first] & np.uint64(255)).astype(np.uint8)
+        return _messages(key[0].as_py(), 0, _bucket(anchors, buckets), anchors=(low, None), pieces=(np.minimum(n, 255).astype(np.uint8), None), marks=(marks, None))
 
     def share_anchors(key, table):
         rows = [np.frombuffer(x, np.uint32) for x in table.column("anchors").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("pieces").to_pylist()]).astype(np.int64)
-        _, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        code = (seen > 1).astype(np.uint8) + 2 * (np.bincount(place, weights=n) > hot_pieces).astype(np.uint8)
+        n, marks = (np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("pieces", "marks"))
+        distinct, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+        # Groups with one piece have different ones if its mark differs; those with several count in full.
+        single = np.unique((place * 256 + marks)[n == 1]) // 256
+        different = np.bincount(single, minlength=len(distinct)) + np.bincount(place, weights=np.where(n > 1, n, 0), minlength=len(distinct))
+        code = (seen > 1).astype(np.uint8) + 2 * (different > hot_pieces).astype(np.uint8)
         cuts = np.cumsum([len(r) for r in rows])[:-1]
         answers = np.split(code[place], cuts)
         return pa.table({"kind": pa.array(np.zeros(len(rows)), pa.int32()), "_group": table.column("_group"), "bucket": table.column("bucket"), "payload": _binary(answers)})
@@ -363,7 +369,7 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
         return pa.table({"kind": pa.array(np.ones(len(answers)), pa.int32()), "_group": table.column("_group"), "bucket": table.column("bucket"), "payload": pa.array(answers, pa.binary())})
 
     head = "kind int, _group bigint, bucket bigint"
-    anchors = by_group.applyInArrow(send_anchors, "kind int, bucket bigint, _group bigint, anchors binary, pieces binary")
+    anchors = by_group.applyInArrow(send_anchors, "kind int, bucket bigint, _group bigint, anchors binary, pieces binary, marks binary")
     codes = anchors.groupBy("bucket").applyInArrow(share_anchors, f"{head}, payload binary")
     pieces = by_group.cogroup(codes.groupBy("_group")).applyInArrow(
         send_pieces, "kind int, bucket bigint, _group bigint, keys binary, least binary, sizes binary, text binary"
@@ -402,14 +408,22 @@ def removed_bytes(texts: pa.Array, ids: np.ndarray, known: pa.Table, length: int
 
 
 def _prepared(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), *more)
+    """_id, _text and ``more``. Ids that are not integers are replaced by their ranks; null stays null."""
+    kind, text = docs.schema["doc_id"].dataType, F.coalesce("text", F.lit("")).alias("_text")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return docs.select(F.col("doc_id").cast("long").alias("_id"), text, *more)
+    ids = docs.select(F.col("doc_id").alias("_key")).where("_key IS NOT NULL").distinct()
+    ids = stored(ranked(ids, ["_key"], name="_id"), "ids")
+    rows = docs.select(F.col("doc_id").alias("_key"), text, *more)
+    return rows.join(ids, "_key", "left").select(F.col("_id").cast("long").alias("_id"), "_text", *(c for c in rows.columns[2:]))
 
 
 def removal_report(
     docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_pieces: int = HOT_PIECES
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    by_group, known = _removal(_prepared(docs), length, group_bytes, bucket_bytes, hot_pieces)
+    by_group, known = _removal(_prepared(docs, F.col("doc_id").alias("_own")), length, group_bytes, bucket_bytes, hot_pieces)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def report(key, table, known):
         data, offsets, gone = removed_bytes(_column(table, "_text"), _ids(table), known, length)
@@ -420,9 +434,9 @@ def removal_report(
         inner[edge] = gone[edge]
         spans = np.concatenate(([0], np.cumsum(inner)))
         kept = [hashlib.sha256(data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.table({"doc_id": _column(table, "_id"), "n_bytes": np.diff(offsets), "n_removed": np.diff(upto[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": _column(table, "_own"), "n_bytes": np.diff(offsets), "n_removed": np.diff(upto[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": pa.array(kept, pa.string())})
 
-    return by_group.cogroup(known).applyInArrow(report, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return by_group.cogroup(known).applyInArrow(report, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(

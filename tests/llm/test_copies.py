@@ -185,3 +185,13 @@ def test_contamination(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(name, spark, data):
     assert compare(QUERIES[name](spark, data), connect(data), ORACLES[name]) is None
+
+
+def test_ids_of_any_type_and_null_ids(spark):
+    text = prose(7, 40)
+    docs = spark.createDataFrame([("b", text), ("a", text), (None, text), (None, text + " more")], "doc_id string, text string")
+    report = removal_report(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in report) == ["None", "None", "a", "b"]
+    assert sorted(r["n_removed"] for r in report) == sorted([0, len(text.encode()), len(text.encode()), len(text.encode())])
+    kept = {(r["doc_id"], r["text"]) for r in remove_repeats(docs).collect()}
+    assert ("a", text) in kept and ("b", "") in kept
