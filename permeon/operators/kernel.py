@@ -41,6 +41,8 @@ from permeon.operators.knn import feature_array
 
 LANDMARKS = 256
 PLATT_FOLDS = 3
+#: Rows that a task of the linear machine takes at least.
+TASK_ROWS = 2000
 #: Eigenvalues below this share of the largest are left out.
 LEAST_SHARE = 1e-9
 
@@ -67,7 +69,7 @@ class _KernelParams(HasFeaturesCol, HasLabelCol):
 
     def __init__(self, *args):
         super().__init__(*args)
-        self._setDefault(gamma=0.0, landmarks=LANDMARKS, regParam=0.001, maxIter=100, keyCol="id", featuresCol="features", labelCol="label")
+        self._setDefault(gamma=0.0, landmarks=LANDMARKS, regParam=0.001, maxIter=30, keyCol="id", featuresCol="features", labelCol="label")
 
 
 def _mapped(df: DataFrame, x: str, landmarks: np.ndarray, turn: np.ndarray, gamma: float, out: str) -> DataFrame:
@@ -124,12 +126,12 @@ class KernelSVC(Estimator, _KernelParams, DefaultParamsReadable, DefaultParamsWr
     """Classes are 0 and 1."""
 
     @keyword_only
-    def __init__(self, *, gamma=0.0, landmarks=LANDMARKS, regParam=0.001, maxIter=100, keyCol="id", featuresCol="features", labelCol="label"):
+    def __init__(self, *, gamma=0.0, landmarks=LANDMARKS, regParam=0.001, maxIter=30, keyCol="id", featuresCol="features", labelCol="label"):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _machine(self) -> LinearSVC:
-        return LinearSVC(regParam=self.getOrDefault("regParam"), maxIter=self.getOrDefault("maxIter"), featuresCol="mapped", labelCol="label", standardization=False)
+        return LinearSVC(regParam=self.getOrDefault("regParam"), maxIter=self.getOrDefault("maxIter"), featuresCol="mapped", labelCol="label", standardization=False, tol=1e-4)
 
     def _fit(self, dataset: DataFrame) -> KernelSVCModel:
         key = F.col(self.getOrDefault("keyCol")).cast("string").alias("key")
@@ -138,7 +140,9 @@ class KernelSVC(Estimator, _KernelParams, DefaultParamsReadable, DefaultParamsWr
         at = np.array([r["x"] for r in rows.orderBy(draw("landmark", "key"), "key").limit(self.getOrDefault("landmarks")).collect()], float)
         gamma = self.getOrDefault("gamma") or self._scale(rows, at.shape[1])
         turn = nystroem(at, gamma)
-        mapped = _mapped(rows, "x", at, turn, gamma, "mapped").select("mapped", "label", (F.pmod(F.xxhash64("key"), F.lit(PLATT_FOLDS))).alias("fold")).persist()
+        mapped = _mapped(rows, "x", at, turn, gamma, "mapped").select("mapped", "label", (F.pmod(F.xxhash64("key"), F.lit(PLATT_FOLDS))).alias("fold"))
+        # Every step is a job: a small table must not be spread over more tasks than its rows are worth.
+        mapped = mapped.coalesce(max(1, min(mapped.rdd.getNumPartitions(), rows.count() // TASK_ROWS))).persist()
         try:
             machine = self._machine().fit(mapped)
             unseen = None
@@ -146,7 +150,8 @@ class KernelSVC(Estimator, _KernelParams, DefaultParamsReadable, DefaultParamsWr
                 learn, held = mapped.where(F.col("fold") != f), mapped.where(F.col("fold") == f)
                 part = _with_margin(held, self._machine().fit(learn))
                 unseen = part if unseen is None else unseen.unionByName(part)
-            a, b = platt_sigmoid(unseen.persist(), "margin", "label")
+            unseen = unseen.coalesce(max(1, unseen.rdd.getNumPartitions() // PLATT_FOLDS)).persist()
+            a, b = platt_sigmoid(unseen, "margin", "label")
             unseen.unpersist()
         finally:
             mapped.unpersist()

@@ -8,7 +8,7 @@ from permeon.functions.labels import encode_label
 from permeon.plans.catalog.registry import Tables, query
 from permeon.session import scratch_dir
 from permeon.sources.store import ResultStore
-from permeon.streaming.micro_batch import run_to_end, stream_append, stream_dedup, stream_files, stream_score
+from permeon.streaming.micro_batch import run_to_end, stream_append, stream_dedup, stream_files, stream_first_rows, stream_score
 
 
 def _events(spark, d):
@@ -71,3 +71,16 @@ def stream_first_seen_bounded(spark, d):
 
     run_to_end(stream_append(_events(spark, d), work, out, checkpoint))
     return spark.read.schema("user_id bigint").parquet(out)
+
+
+@query(
+    "stream_first_seen_stored",
+    "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
+)
+def stream_first_seen_stored(spark, d):
+    source = _events(spark, d).select("user_id", "event_id")
+    store = ResultStore(spark, scratch_dir(spark, "first-rows"), source.schema, "user_id", buckets=8)
+    checkpoint = scratch_dir(spark, "checkpoint")
+    for _ in range(2):
+        run_to_end(stream_first_rows(source, store, ["event_id"], checkpoint))
+    return store.read()

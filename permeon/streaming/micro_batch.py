@@ -76,6 +76,16 @@ def stream_dedup(source: DataFrame, key: str, event_time: str | None = None, del
     return source.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def stream_first_rows(source: DataFrame, store: ResultStore, order: Sequence[str], checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """First row of each key over the table's lifetime, without streaming state.
+
+    The keys seen are the store's rows on disk; a batch reads the buckets its own keys
+    fall into, and memory does not grow with the number of keys. Within a batch
+    the first in ``order`` counts.
+    """
+    return stream_score(source, lambda batch: batch, store, order, checkpoint, name)
+
+
 def run_to_end(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query, raising its error if it failed."""
     query.awaitTermination()

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from permeon.session import scratch_dir, spread
 from permeon.sources.store import ResultStore, insert_if_absent
-from permeon.streaming.micro_batch import run_to_end, stream_append, stream_dedup, stream_files, stream_score
+from permeon.streaming.micro_batch import run_to_end, stream_append, stream_dedup, stream_files, stream_first_rows, stream_score
 
 EVENTS = T.StructType([T.StructField("key", T.StringType()), T.StructField("v", T.IntegerType()), T.StructField("ts", T.TimestampType())])
 STORE = T.StructType([T.StructField("key", T.StringType()), T.StructField("score", T.IntegerType())])
@@ -206,3 +206,17 @@ def test_a_stream_killed_between_write_and_checkpoint_goes_on(spark, tmp_path, s
     arrive(spark, src, [("b", 0), ("c", 3)])
     go(score)
     assert contents(store) == [("a", 10), ("b", 20), ("c", 30)]
+
+
+def test_first_rows_keep_no_state(spark, tmp_path):
+    """However many keys there are, the query holds none; a later run still knows them."""
+    src, ckpt = str(tmp_path / "in"), str(tmp_path / "ck")
+    store = ResultStore(spark, str(tmp_path / "out"), T.StructType([EVENTS["key"], EVENTS["v"]]), "key", buckets=4)
+    sizes = []
+    for start in (0, 300):
+        arrive(spark, src, [(f"k{i % 400}", 1000 + i) for i in range(start, start + 300)])
+        q = stream_first_rows(stream_files(spark, src, EVENTS).select("key", "v"), store, ["v"], ckpt)
+        run_to_end(q)
+        sizes.append([s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]])
+    assert sizes == [[], []]
+    assert {r["key"]: r["v"] for r in store.read().collect()} == {f"k{i}": 1000 + i for i in range(400)}
