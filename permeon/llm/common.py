@@ -7,8 +7,6 @@ for all documents of a block in a few passes, without a Python object per word.
 
 from __future__ import annotations
 
-import ctypes
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,13 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permeon.session import scratch_dir
+from permeon.session import BATCH_BYTES, bound_batches, in_arrow, release_memory, scratch_dir  # noqa: F401
 
 #: Bytes of text that one block aims at; a longer document is a block by itself.
 BLOCK_BYTES = 1 << 19
-#: Bytes of one Arrow batch; the session's setting is lowered to it.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Odd multipliers of the polynomial hashes.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
@@ -45,31 +40,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Has Spark hand texts to Python in batches of at most BATCH_BYTES (one row at least), not by rows alone."""
-    number, unit = re.match(r"(-?\d+)([kmgt]?)", spark.conf.get(_BATCH_SETTING).lower()).groups()
-    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
-
-
-def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded bytes; the worker gives freed memory back after each task."""
-    bound_batches(df.sparkSession)
-
-    def run(batches):
-        yield from fn(batches)
-        release_memory()
-
-    return df.mapInArrow(run, schema)
-
-
-def release_memory() -> None:
-    """Returns the allocator's free pages to the system, where the C library can: workers outlive their tasks."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else untouched."""
     return F.translate(text, UPPER, UPPER.lower())

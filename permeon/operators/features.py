@@ -7,6 +7,7 @@ generated code.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from permeon.functions.cleaning import clip, finite_or_null, impute_constant
 from permeon.functions.text import element_tokens, largest_part, names_any, normalise_key, words
 from permeon.operators.projection import for_columns
 from permeon.operators.quantiles import approx_quantiles, exact_quantiles
+from permeon.session import bound_batches, release_memory
 
 # Hard clip, winsor quantiles, variance limit, fingerprint length.
 HARD_CLIP = 1e6
@@ -250,10 +252,17 @@ def featurize(
             return pd.DataFrame({**{n: [None] for n in names}, "failed": [True]}).astype({n: "float64" for n in names})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.freeze()
         for pdf in batches:
-            made = rows_of(pdf[key])
-            yield pd.concat([pdf[list(keep)].reset_index(drop=True), made], axis=1)
-
+            yield pd.concat([pdf[list(keep)].reset_index(drop=True), rows_of(pdf[key])], axis=1)
+            del pdf
+            # A function may leave cycles, as pandas' accessors do: each would keep its batch to the end of the task.
+            gc.collect()
+        gc.unfreeze()
+        release_memory()
+
+    # Batches of bounded bytes: how long the keys are must not decide what a worker holds.
+    bound_batches(df.sparkSession)
     return df.select(*dict.fromkeys([*keep, key])).mapInPandas(run, schema)
 
 

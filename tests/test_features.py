@@ -143,3 +143,29 @@ def test_scalar_functions(spark):
     assert [r[0] for r in edges.select(labels.uncertainty_band("v")).collect()] == ["low", "medium", "high", None]
     conf = spark.createDataFrame([(80.0,), (80.1,), (60.0,), (59.9,)], "v double")
     assert [r[0] for r in conf.select(labels.confidence_band("v")).collect()] == ["medium", "high", "medium", "low"]
+
+
+def test_user_featuriser_gets_batches_of_bounded_bytes(spark):
+    rows = spark.range(6000, numPartitions=1).select("id", F.repeat(F.lit("long text "), 300).alias("text"))
+    sizes = lambda keys: pd.DataFrame({"bytes": [float(keys.str.len().sum())] * len(keys)})
+    found = features.featurize(rows, "text", sizes, ["bytes"], keep=["id"]).agg(F.count("*").alias("n"), F.max("bytes").alias("top")).first()
+    assert found["n"] == 6000 and found["top"] <= 5 << 20
+
+
+def test_user_featuriser_keeps_no_batch(spark):
+    """Each batch ends up in a cycle (``keys.str`` is cached on the keys); none may outlive the next."""
+    import gc
+    import weakref
+
+    rows = spark.range(6000, numPartitions=1).select("id", F.repeat(F.lit("long text "), 300).alias("text"))
+    seen = []
+
+    def alive(keys):
+        gc.disable()  # only what the operator does counts
+        keys.str.lower()
+        seen.append(weakref.ref(keys))
+        gc.enable()
+        return pd.DataFrame({"alive": [float(sum(r() is not None for r in seen))] * len(keys)})
+
+    found = features.featurize(rows, "text", alive, ["alive"], keep=["id"]).agg(F.count_distinct("alive").alias("n"), F.max("alive").alias("top")).first()
+    assert found["top"] <= 2
