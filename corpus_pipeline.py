@@ -29,7 +29,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity of at least 0.8)."""
+    """One document of each component of near copies: SimHash components and MinHash bands as candidates, verified by five-word shingles (similarity of at least 0.8)."""
     return one_of_near_copies(docs)
 
 

@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
 A SimHash of 64 bits cannot find these: at 0.8 about ten bits differ, so segments
-short enough to agree would be shared by everything. Candidates therefore agree in
-a band of MinHash rows (a pair at 0.8 is missed with probability 3e-6), and every link is
-verified by the exact similarity of the two sets.
+short enough to agree would be shared by everything. Candidates are therefore the texts of
+one SimHash component and, beside these, those that agree in a band of MinHash rows (a pair
+at 0.8 is missed with probability 3e-6). Every link is verified by the exact similarity of
+the two sets.
 
 Texts with equal sets are one node. A band's members are linked to one pivot first.
 Groups that are not yet one component get their members' sets; a task compares those
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from permeon.llm.common import LOWER, NOT_BLANK, in_arrow, mix, ragged, range_hashes, split_words, stored, text_blocks, window_hashes
 from permeon.llm.components import components
-from permeon.llm.simhash import CELL_BITS, GROUP, cells, first_of_each
+from permeon.llm.simhash import CELL_BITS, GROUP, cells, first_of_each, near_duplicates
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction of whole numbers so that it is exact.
@@ -206,9 +207,18 @@ def _across(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
-def links(docs: DataFrame, nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """(u, v) links that connect all distinct ``fp`` that are near copies."""
+def simhash_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, fp): the sets of the texts of each SimHash component; ``rows`` has the set of each text."""
+    found = near_duplicates(docs)
+    name = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fingerprint")))
+    named = found.select("text_hash", F.xxhash64(F.lit("simhash"), name).alias("key")).distinct()
+    return rows.select("text_hash", "fp").distinct().join(named, "text_hash").select("key", "fp").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, group: int = GROUP, groups: DataFrame | None = None) -> DataFrame:
+    """(u, v) links that connect all distinct ``fp`` that are near copies; ``groups`` are candidates besides those of the bands."""
     signed = nodes.select(F.explode("keys").alias("key"), "fp")
+    signed = signed if groups is None else signed.unionByName(groups)
     sizes = signed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
     shared = stored(signed.join(sizes, "key"), "bands")
     sets = stored(_sets(docs, shared.select(F.col("fp").alias("key"))), "shingles")
@@ -239,7 +249,7 @@ def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, text_hash and ``component``, a number that near copies share, of every row."""
     rows = stored(sketches(docs), "sketches")
     nodes = stored(rows.groupBy("fp").agg(F.first("signature").alias("signature"), F.first("keys").alias("keys")), "distinct-sets")
-    roots = components(links(docs, nodes, group)).withColumnRenamed("node", "fp")
+    roots = components(links(docs, nodes, group, simhash_groups(docs, rows))).withColumnRenamed("node", "fp")
     return rows.select("doc_id", "text_hash", "fp").join(roots, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("component"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_pipeline import near_dedup
 from permeon.llm.near_copies import links, near_copies, sketches
@@ -94,3 +95,21 @@ def test_stage_keeps_no_near_copies(spark, rows):
     left = [plain_set(r["text"]) for r in got]
     assert not any(is_near(a, b) for i, a in enumerate(left) for b in left[:i])
     assert near_dedup(spark, documents(spark, []), "").count() == 0
+
+
+def test_simhash_components_are_candidates(spark):
+    from permeon.llm.near_copies import simhash_groups
+
+    base = prose(880, 900)
+    rows = [(1, base), (2, changed(base, 1, 5)), (3, base + " end"), (4, prose(881, 900)), (None, prose(882, 300)), (6, "")]
+    docs = documents(spark, rows)
+    found = sketches(docs).persist()
+    groups = simhash_groups(docs, found)
+    of = {r["fp"]: r["key"] for r in groups.collect()}
+    ids = {r["doc_id"]: r["fp"] for r in found.collect()}
+    assert groups.count() == 6 and of[ids[1]] == of[ids[3]] != of[ids[4]]
+    # Without a band, the texts of one SimHash component are still compared.
+    nodes = found.select("fp", "signature", F.expr("cast(array() as array<bigint>)").alias("keys"))
+    assert links(docs, nodes).count() == 0
+    joined = {frozenset(r) for r in links(docs, nodes, groups=groups).collect()}
+    assert frozenset((ids[1], ids[3])) in joined and not any(ids[4] in pair for pair in joined)
