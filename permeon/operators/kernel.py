@@ -43,6 +43,8 @@ LANDMARKS = 256
 PLATT_FOLDS = 3
 #: Rows that a task of the linear machine takes at least.
 TASK_ROWS = 2000
+#: Rows whose kernel values a worker holds at a time.
+BATCH_ROWS = 1024
 #: Eigenvalues below this share of the largest are left out.
 LEAST_SHARE = 1e-9
 
@@ -79,7 +81,10 @@ def _mapped(df: DataFrame, x: str, landmarks: np.ndarray, turn: np.ndarray, gamm
     @F.pandas_udf("array<double>")
     def features(values: pd.Series) -> pd.Series:
         at, matrix = shared.value
-        return pd.Series(list(kernel(np.stack(values.to_numpy()).astype(float), at, gamma) @ matrix) if len(values) else [], dtype=object)
+        out = []
+        for i in range(0, len(values), BATCH_ROWS):
+            out.extend(kernel(np.stack(values.iloc[i : i + BATCH_ROWS].to_numpy()).astype(float), at, gamma) @ matrix)
+        return pd.Series(out, dtype=object)
 
     return df.withColumn(out, array_to_vector(features(x)))
 
@@ -136,13 +141,21 @@ class KernelSVC(Estimator, _KernelParams, DefaultParamsReadable, DefaultParamsWr
     def _fit(self, dataset: DataFrame) -> KernelSVCModel:
         key = F.col(self.getOrDefault("keyCol")).cast("string").alias("key")
         rows = dataset.select(key, feature_array(dataset, self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("label"))
-        rows = rows.where("x IS NOT NULL AND label IS NOT NULL")
+        # What made the rows runs once, in tasks of its own: joined into few tasks below, its sorts would be held side by side.
+        rows = rows.where("x IS NOT NULL AND label IS NOT NULL").persist()
+        try:
+            return self._fit_rows(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit_rows(self, rows: DataFrame) -> KernelSVCModel:
+        n = rows.count()
         at = np.array([r["x"] for r in rows.orderBy(draw("landmark", "key"), "key").limit(self.getOrDefault("landmarks")).collect()], float)
         gamma = self.getOrDefault("gamma") or self._scale(rows, at.shape[1])
         turn = nystroem(at, gamma)
-        mapped = _mapped(rows, "x", at, turn, gamma, "mapped").select("mapped", "label", (F.pmod(F.xxhash64("key"), F.lit(PLATT_FOLDS))).alias("fold"))
         # Every step is a job: a small table must not be spread over more tasks than its rows are worth.
-        mapped = mapped.coalesce(max(1, min(mapped.rdd.getNumPartitions(), rows.count() // TASK_ROWS))).persist()
+        few = rows.coalesce(max(1, min(rows.rdd.getNumPartitions(), n // TASK_ROWS)))
+        mapped = _mapped(few, "x", at, turn, gamma, "mapped").select("mapped", "label", (F.pmod(F.xxhash64("key"), F.lit(PLATT_FOLDS))).alias("fold")).persist()
         try:
             machine = self._machine().fit(mapped)
             unseen = None
@@ -183,8 +196,10 @@ class KernelSVCModel(Model, _KernelParams, MLReadable, MLWritable):
             s = shared.value
             known = x.notna().to_numpy()
             out = np.full(len(x), np.nan)
-            if known.any():
-                out[known] = kernel(np.stack(x[known].to_numpy()).astype(float), s["landmarks"], s["gamma"]) @ s["weights"] + s["intercept"]
+            places = np.flatnonzero(known)
+            for i in range(0, len(places), BATCH_ROWS):
+                some = places[i : i + BATCH_ROWS]
+                out[some] = kernel(np.stack(x.iloc[some].to_numpy()).astype(float), s["landmarks"], s["gamma"]) @ s["weights"] + s["intercept"]
             return pd.Series(out).where(known, None)
 
         scored = dataset.withColumn("__margin", margin(feature_array(dataset, self.getFeaturesCol())))

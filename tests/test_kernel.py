@@ -74,3 +74,18 @@ def test_rows_in_any_order_and_rows_without_features(spark):
     assert np.array_equal(a["landmarks"], b["landmarks"]) and np.allclose(a["weights"], b["weights"], rtol=1e-3, atol=1e-4)
     asked = train.select("id", F.when(F.col("id") > 5, F.col("features")).alias("features"))
     assert models_of[0].transform(asked).where("prediction IS NULL AND probability IS NULL").count() == 6
+
+
+def test_training_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(y):
+        made.add(1)
+        return y
+
+    x, y = rings(300, 6)
+    rows = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id int, x array<double>, y int")
+    train = models.as_vectors(rows.repartition(20).withColumn("y", seen("y")), "x", "y", ["id"])
+    KernelSVC(keyCol="id", landmarks=20, maxIter=5).fit(train)
+    assert made.value <= 600
