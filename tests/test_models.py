@@ -132,3 +132,11 @@ def test_neighbours_as_an_estimator(spark, tmp_path):
     assert sum(r["pred"] == r["label"] for r in knn) == len(knn)
     tuned = models.tune(KNNClassifier(keyCol="key"), {"k": [1, 3]}, rows, folds=3)
     assert len(models.tuning_table(tuned)) == 2
+
+
+def test_fits_get_few_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(500)
+    many = models.in_few_tasks(rows.repartition(5 * cores), "id")
+    assert many.rdd.getNumPartitions() <= 2 * cores and many.agg({"id": "sum"}).first()[0] == sum(range(500))
+    assert models.in_few_tasks(rows.repartition(2), "id").rdd.getNumPartitions() == 2
