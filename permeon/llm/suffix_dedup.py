@@ -9,10 +9,11 @@ share one, so a text falls into pieces of a few windows each.
 1. Documents are put into groups of about GROUP_BYTES. Every group sends its
    distinct anchors; an anchor that several groups have is shared.
 2. Groups send the distinct pieces of shared anchors, each with its least document.
-3. The pieces of an anchor become one generalised suffix array, made by linear
-   grouping (:mod:`permeon.llm.suffix_array`); neighbours in it that agree in LENGTH bytes
+3. The pieces of an anchor are cut again by longer grams (LONG_GRAM), and the distinct
+   cuts of one long anchor become one generalised suffix array, made by linear grouping
+   (:mod:`permeon.llm.suffix_array`); neighbours in it that agree in LENGTH bytes
    are one string, whose least document is sent back. An anchor with one piece
-   has nothing to sort.
+   has nothing to sort, nor has a long anchor with one cut.
 4. Groups remove what is known from an earlier document.
 
 All messages are packed arrays, one row per group and bucket. A hot passage is sent
@@ -45,12 +46,13 @@ from permeon.operators.ordering import ranked
 
 LENGTH = 50
 GRAM = 16
+LONG_GRAM = 32
 GROUP_BYTES = 3 << 19
 #: Input bytes for each bucket of anchors or pieces; a bucket's pieces have up to four times as many.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20
 PIECE_WINDOWS = 64
 #: Bytes whose grams are hashed at a time; a longer text is taken whole.
-SCAN_BYTES = 1 << 18
+SCAN_BYTES = 1 << 16
 HOT_PIECES = 64
 SLOT = 4
 #: Symbols that one call of the suffix sorter takes.
@@ -85,24 +87,41 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - k)], h[width - k :]) if width > k else h
 
 
-def anchor_runs(texts: pa.Array, length: int) -> Runs:
-    """The runs of all texts; places count from the first byte of the column."""
+def _runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Runs:
+    """The runs of some texts that lie one after another."""
+    least = _sliding_least(_grams(data, gram), length - gram + 1)
+    head = np.ones(len(least) + 1, bool)
+    head[1:-1] = least[1:] != least[:-1]
+    ends = np.maximum(offsets[1:] - length + 1, offsets[:-1])
+    for edge in (offsets[:-1], ends):
+        head[edge[edge < len(least)]] = True
+    heads = np.flatnonzero(head)
+    start, size = heads[:-1], np.diff(heads)
+    doc = np.searchsorted(offsets, start, "right") - 1
+    inside = start < ends[doc]
+    start = start[inside]
+    # Least hashes are small numbers; mixed they spread over all buckets.
+    return Runs(doc[inside], start, size[inside], mix(least[start]))
+
+
+def _joined_runs(blocks, length: int, gram: int) -> Runs:
+    """The runs of (texts' bytes, offsets), block after block; places count from the first byte of all."""
     found, at, row = [], 0, 0
-    for block in text_blocks(texts, SCAN_BYTES):
-        windows = np.maximum(np.diff(block.offsets) - length + 1, 0)
-        if windows.any():
-            least = _sliding_least(_grams(block.data, GRAM), length - GRAM + 1)
-            place = ragged(block.offsets[:-1], windows)
-            doc = np.repeat(np.arange(len(windows)), windows)
-            value = least[place]
-            heads = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))))
-            found.append(Runs(doc[heads] + row, place[heads] + at, np.diff(np.append(heads, len(value))), value[heads]))
-        at, row = at + len(block.data), row + len(windows)
+    for data, offsets in blocks:
+        if (np.diff(offsets) >= length).any():
+            runs = _runs_of(data, offsets, length, gram)
+            found.append(runs._replace(doc=runs.doc + row, start=runs.start + at))
+        at, row = at + len(data), row + len(offsets) - 1
     if not found:
         return Runs(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)))
     return Runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
+def anchor_runs(texts: pa.Array, length: int) -> Runs:
+    """The runs of all texts; places count from the first byte of the column."""
+    return _joined_runs(((block.data, block.offsets) for block in text_blocks(texts, SCAN_BYTES)), length, GRAM)
+
+
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column, and the offsets of its texts."""
     blocks = list(text_blocks(texts, 1 << 62))
@@ -125,6 +144,14 @@ def _first_of_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(change)
 
 
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each entry its distinct combination of the keys, an example of each, and what :func:`_first_of_equal` gives."""
+    order, heads = _first_of_equal(*keys)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    return which, order[heads], heads, order
+
+
 def _split_runs(runs: Runs, which: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """(run, first window, windows) of the chosen runs, cut after every ``size`` windows."""
     parts = -(-runs.size[which] // size)
@@ -142,21 +169,18 @@ def _slots(runs: Runs, which: np.ndarray, data: np.ndarray, length: int):
     """
     run = np.repeat(which, runs.size[which])
     window = ragged(runs.start[which], runs.size[which])
-    distance = np.zeros(len(window), np.int64)
-    for at in range(0, len(window), 1 << 16):
-        w, a = window[at : at + (1 << 16)], runs.anchor[run[at : at + (1 << 16)]]
-        open_ = np.arange(len(w))
-        for d in range(length - GRAM + 1):
-            text = data[(w[open_] + d)[:, None] + np.arange(GRAM)]
-            h, k, base = text.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-            while k < GRAM:
-                h = h[:, ::2] * np.uint64(pow(base, k, 1 << 64)) + h[:, 1::2]
-                k *= 2
-            hit = mix(h[:, 0]) == a[open_]
-            distance[at + open_[hit]] = d
-            open_ = open_[~hit]
-            if not len(open_):
-                break
+    sizes = runs.size[which] + length - 1
+    distances = [np.zeros(0, np.int64)]
+    for part in np.split(np.arange(len(which)), np.flatnonzero(np.diff(np.cumsum(sizes) // SCAN_BYTES)) + 1):
+        if not len(part):
+            continue
+        laid, grams = sizes[part], sizes[part] - GRAM + 1
+        hashes = mix(_grams(data[ragged(runs.start[which[part]], laid)], GRAM))[ragged(np.cumsum(laid) - laid, grams)]
+        # Every window has its run's anchor among its grams.
+        anchors = np.flatnonzero(hashes == np.repeat(runs.anchor[which[part]], grams))
+        first = ragged(np.cumsum(grams) - grams, runs.size[which[part]])
+        distances.append(anchors[np.searchsorted(anchors, first)] - first)
+    distance = np.concatenate(distances)
     slot = distance // SLOT
     head = np.ones(len(window), bool)
     head[1:] = (run[1:] != run[:-1]) | (slot[1:] != slot[:-1]) | (distance[1:] != distance[:-1] - 1)
@@ -199,12 +223,9 @@ def shared_pieces(texts: pa.Array, ids: np.ndarray, codes: np.ndarray, length: i
         more = _slots(runs, hot_runs, data, length)
         run, start, size, key = (np.concatenate(x) for x in zip((run, start, size, key), more, strict=True))
     text = range_hashes(data, start, start + size + length - 1) if len(start) else np.zeros(0, np.uint64)
-    order, heads = _first_of_equal(key, text)
-    which = np.empty(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    which, example, heads, order = _distinct(key, text)
     doc = runs.doc[run]
     least = np.minimum.reduceat(ids[doc][order], heads) if len(heads) else np.zeros(0, np.int64)
-    example = order[heads]
     return Pieces(doc, start, size, which, key[example], example, least)
 
 
@@ -212,8 +233,37 @@ def least_documents(data: np.ndarray, bounds: np.ndarray, key: np.ndarray, least
     """For each window of each distinct piece, one after another, the least document that has it.
 
     Piece i is data[bounds[i]:bounds[i + 1]]; pieces are sorted by key. Windows of
-    different keys are not compared.
+    different keys are not compared. Pieces of a key are cut where the least long gram
+    of their windows changes, so strings to sort are short and hold what may be equal.
     """
+    if length < LONG_GRAM + 8 or not len(key):
+        return _sorted_least(data, bounds, key, least, length)
+    sizes = np.diff(bounds)
+    windows = sizes - length + 1
+    out = np.repeat(least, windows)
+    new = key[1:] != key[:-1]
+    several = np.flatnonzero(~(np.append(True, new) & np.append(new, True)))
+    if not len(several):
+        return out
+    text = data[ragged(bounds[several], sizes[several])]
+    laid = np.concatenate(([0], np.cumsum(sizes[several])))
+    cuts = np.append(np.searchsorted(laid, np.arange(0, laid[-1], SCAN_BYTES)), len(several))
+    blocks = ((text[laid[a] : laid[b]], laid[a : b + 1] - laid[a]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < b)
+    runs = _joined_runs(blocks, length, LONG_GRAM)
+    finer = mix(runs.anchor ^ mix(key[several].astype(np.uint64))[runs.doc])
+    which, example, heads, order = _distinct(finer, range_hashes(text, runs.start, runs.start + runs.size + length - 1))
+    own = np.concatenate(([0], np.cumsum(runs.size[example] + length - 1)))
+    earliest = np.minimum.reduceat(least[several][runs.doc][order], heads)
+    values = _sorted_least(text[ragged(runs.start[example], np.diff(own))], own, finer[example], earliest, length)
+    begin = np.cumsum(windows) - windows
+    first = np.cumsum(runs.size[example]) - runs.size[example]
+    place = begin[several][runs.doc] + runs.start - laid[runs.doc]
+    out[ragged(place, runs.size)] = values[ragged(first[which], runs.size)]
+    return out
+
+
+def _sorted_least(data: np.ndarray, bounds: np.ndarray, key: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """What :func:`least_documents` returns, by one suffix array for each key."""
     sizes = np.diff(bounds)
     windows = sizes - length + 1
     out = np.repeat(least, windows)
@@ -301,10 +351,15 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
         runs = anchor_runs(texts, length)
         data, _ = _bytes_of(texts)
         hashes = range_hashes(data, runs.start, runs.start + runs.size + length - 1) if len(runs.start) else np.zeros(0, np.uint64)
-        order, heads = _first_of_equal(runs.anchor, hashes)
-        anchors, first, n = np.unique(runs.anchor[order[heads]], return_index=True, return_counts=True)
+        anchors, place, n = np.unique(runs.anchor, return_inverse=True, return_counts=True)
+        least = np.empty(len(anchors), np.uint64)
+        least[place] = hashes
+        again = np.flatnonzero(n[place] > 1)
+        order, heads = _first_of_equal(place[again], hashes[again])
+        several, first, pieces = np.unique(place[again][order[heads]], return_index=True, return_counts=True)
+        least[several], n[several] = hashes[again][order[heads]][first], pieces
         low = (anchors & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        marks = (hashes[order[heads]][first] & np.uint64(255)).astype(np.uint8)
+        marks = (least & np.uint64(255)).astype(np.uint8)
         return _messages(key[0].as_py(), 0, _bucket(anchors, buckets), anchors=(low, None), pieces=(np.minimum(n, 255).astype(np.uint8), None), marks=(marks, None))
 
     def share_anchors(key, table):
@@ -312,8 +367,9 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
         n, marks = (np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("pieces", "marks"))
         distinct, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
         # Groups with one piece have different ones if its mark differs; those with several count in full.
-        single = np.unique((place * 256 + marks)[n == 1]) // 256
-        different = np.bincount(single, minlength=len(distinct)) + np.bincount(place, weights=np.where(n > 1, n, 0), minlength=len(distinct))
+        alone = seen[place] == 1
+        single = np.unique((place * 256 + marks)[(n == 1) & ~alone]) // 256
+        different = np.bincount(single, minlength=len(distinct)) + np.bincount(place, weights=np.where((n > 1) | alone, n, 0), minlength=len(distinct))
         code = (seen > 1).astype(np.uint8) + 2 * (different > hot_pieces).astype(np.uint8)
         cuts = np.cumsum([len(r) for r in rows])[:-1]
         answers = np.split(code[place], cuts)
@@ -343,10 +399,7 @@ def _removal(docs: DataFrame, length: int, group_bytes: int, bucket_bytes: int,
         texts = [pa.decompress(t, int(np.frombuffer(n, np.uint8).sum(dtype=np.int64)), "zstd", asbytes=True) for t, n in packed]
         data = np.frombuffer(b"".join(texts), np.uint8)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
-        order, heads = _first_of_equal(low, range_hashes(data, bounds[:-1], bounds[1:]))
-        which = np.empty(len(order), np.int64)
-        which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        example = order[heads]
+        which, example, heads, order = _distinct(low, range_hashes(data, bounds[:-1], bounds[1:]))
         own = np.concatenate(([0], np.cumsum(sizes[example])))
         values = least_documents(data[ragged(bounds[example], sizes[example])], own, low[example], np.minimum.reduceat(least[order], heads), length)
         # Back in the senders' order, as runs of windows with one least document.
